@@ -15,6 +15,7 @@ AS_OF = "2001-06-30"
 VENUES = ["BINANCE", "HYPERLIQUID", "OKX", "BYBIT", "GATE", "KUCOIN", "LIGHTER"]
 SYMBOLS = ["BTCUSDT", "ETHUSDT", "xyzGOLD", "SP500"]
 KEYS = len(VENUES) * len(SYMBOLS)
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 RATE_SCALE = 1000 / 1009
 FUNDING_SCALE = 5000011
 
@@ -42,7 +43,9 @@ def market_of(key: Column, day: Column, line: Column) -> Column:
     """Market name: maturity is the end of the quarter, for every other line of the one after."""
     quarter = F.trunc(F.add_months(day, (line % 2) * 3), "quarter")
     maturity = F.last_day(F.add_months(quarter, 2))
-    return F.concat_ws("-", key.cast("string"), venue(key), symbol(key), F.upper(F.date_format(maturity, "ddMMMyyyy")))
+    month = F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month(maturity) - 1)
+    text = F.concat(F.dayofmonth(maturity).cast("string"), month, F.year(maturity).cast("string"))
+    return F.concat_ws("-", key.cast("string"), venue(key), symbol(key), text)
 
 
 def _seconds(moment: Column) -> Column:

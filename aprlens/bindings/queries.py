@@ -134,9 +134,10 @@ def epoch_fields(spark, sf):
 
 
 def _as_lines(df: DataFrame, dataset: clean.Dataset, path: Column, datetime: Column) -> DataFrame:
-    """Typed rows as the text fields a parsed archive line has."""
-    have = [f for f in dataset.fields if f in df.columns]
-    return df.select(path.alias("source_path"), datetime.alias("datetime"), *[F.col(f).cast("string").alias(f) for f in have])
+    """Rows written as the JSON lines an archive holds, and read back."""
+    have = [c for c in df.columns if c in (*dataset.number_fields, *dataset.texts)]
+    record = F.to_json(F.struct(*have, datetime.alias("datetime")))
+    return clean.lines_of(df.select(path.alias("source_path"), record.cast("binary").alias("block")), dataset)
 
 
 def _market_path(prefix: str) -> Column:

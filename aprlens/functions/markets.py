@@ -38,8 +38,9 @@ ASSET_ALIASES = {
     "XYZ100": "XYZ100",
 }
 
-# The market name pattern and the symbol prefix that is not part of the asset.
-MARKET_PATTERN = r"^(\d+)-([^-]+)-(.+)-(\d{2}[A-Z]{3}\d{4})$"
+# The market name pattern, the length of its maturity, the symbol prefix that is not part of the asset.
+MARKET_PATTERN = r"^\d+-[^-]+-.+-\d{2}[A-Z]{3}\d{4}$"
+MATURITY_LENGTH = 9
 SYMBOL_PREFIX = "xyz"
 QUOTE_SUFFIX = "USDT"
 
@@ -82,16 +83,23 @@ def is_market_name(market: Column) -> Column:
 def with_market_columns(df: DataFrame) -> DataFrame:
     """Add the six columns a ``market`` name encodes; NULL throughout for a name of another form.
 
-    They depend on the name alone, so aggregating jobs group by ``market`` and call this on the result.
+    They depend on the name alone, so aggregating jobs group by ``market`` and call this on the result. The
+    pattern is matched once; the first two parts hold no dash, so the rest are cut out by position.
     """
-
-    def part(group: int) -> Column:
-        return F.when(is_market_name(F.col("market")), F.regexp_extract("market", MARKET_PATTERN, group))
-
+    name, parts = F.col("market"), F.col("_parts")
+    cut = F.length(F.col("market_id")) + F.length(F.col("venue")) + 2
     return (
         df.drop(*MARKET_COLUMNS)
-        .withColumns({"market_id": part(1), "venue": part(2), "symbol": part(3), "maturity": maturity_date(part(4))})
+        .withColumn("_parts", F.when(is_market_name(name), F.split(name, "-", 3)))
+        .withColumns({"market_id": F.get(parts, F.lit(0)), "venue": F.get(parts, F.lit(1))})
+        .withColumns(
+            {
+                "symbol": F.substring(name, cut + 1, F.length(name) - cut - MATURITY_LENGTH - 1),
+                "maturity": maturity_date(F.when(parts.isNotNull(), F.right(name, F.lit(MATURITY_LENGTH)))),
+            }
+        )
         .withColumns({"exchange": exchange_name(F.col("venue")), "asset": asset_of_symbol(F.col("symbol"))})
+        .drop("_parts")
     )
 
 

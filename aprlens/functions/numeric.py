@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-# The decimal literals and special words accepted as numbers.
-DIGITS = r"\d+(?:_\d+)*"
-DECIMAL_TEXT = rf"^[+-]?(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?$"
-SPECIAL_TEXT = r"(?i)^[+-]?(?:nan|inf|infinity)$"
+# What is accepted as a number, and the characters a cast would not take although a number may have them.
+_DIGITS = r"\d+(?:_\d+)*"
+NUMBER_TEXT = (
+    rf"(?i)^\s*(?:[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
+    r"|[+-]?(?:nan|inf|infinity))\s*$"
+)
+EXTRA_CHARACTERS = "_+"
 
 _INFINITY = float("inf")
 
@@ -19,15 +22,9 @@ _INFINITY = float("inf")
 def permissive_double(text: Column) -> Column:
     """Text to double: blank or unparsable gives NULL, ``nan``/``inf`` words parse, ``_`` may group digits.
 
-    The patterns keep out what the JVM parser would take on top (``1.5d``, hexadecimal floats). A word a
-    JSON reader kept in quotes is unquoted first.
+    The pattern keeps out what the JVM parser would take on top (``1.5d``, hexadecimal floats).
     """
-    bare = F.regexp_replace(F.btrim(text, F.lit(" \t\r\n\f\v")), '^"(.*)"$', "$1")
-    word = F.regexp_replace(F.lower(bare), r"^\+|^-(?=nan)", "")
-    return (
-        F.when(bare.rlike(DECIMAL_TEXT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(bare.rlike(SPECIAL_TEXT), word.try_cast("double"))
-    )
+    return F.when(text.rlike(NUMBER_TEXT), F.translate(text, EXTRA_CHARACTERS, "").try_cast("double"))
 
 
 def number(df: DataFrame, name: str) -> Column:

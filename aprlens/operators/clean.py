@@ -17,7 +17,6 @@ from ..functions.markets import (
     is_market_name,
     with_market_columns,
 )
-from ..functions.numeric import permissive_double
 from ..functions.timing import FIRST_SECOND, LAST_SECOND, datetime_or_iso, utc_date
 from ..sources.archives import ARCHIVE_SUFFIX, BAD_LINE, parse_lines, scan_archives
 
@@ -33,8 +32,12 @@ class Dataset:
     per_market: bool = True
 
     @property
-    def fields(self) -> list[str]:
-        return [self.timestamp, "datetime", *self.texts, *self.longs, *self.numbers]
+    def number_fields(self) -> list[str]:
+        return [self.timestamp, *self.longs, *self.numbers]
+
+    @property
+    def text_fields(self) -> list[str]:
+        return ["datetime", *self.texts]
 
 
 _MARKET = ("market", *MARKET_COLUMNS)
@@ -72,20 +75,20 @@ def place_by_path(df: DataFrame, dataset: Dataset) -> DataFrame:
 
 def read_lines(spark: SparkSession, root: str, dataset: Dataset) -> DataFrame:
     """Lines of a dataset's archives, placed by path before they are split into rows."""
-    return parse_lines(place_by_path(scan_archives(spark, root, dataset.prefix), dataset), dataset.fields)
+    return lines_of(scan_archives(spark, root, dataset.prefix), dataset)
+
+
+def lines_of(blocks: DataFrame, dataset: Dataset) -> DataFrame:
+    return parse_lines(place_by_path(blocks, dataset), dataset.number_fields, dataset.text_fields)
 
 
-def epoch_seconds(text: Column) -> Column:
-    seconds = permissive_double(text)
-    return F.when(seconds.between(FIRST_SECOND, LAST_SECOND), seconds.cast("long"))
+def epoch_seconds(value: Column) -> Column:
+    """Whole seconds, NULL outside the years a date can have."""
+    return F.when(value.between(FIRST_SECOND, LAST_SECOND), value.cast("long"))
 
 
 def _typed(lines: DataFrame, dataset: Dataset) -> DataFrame:
     """All lines with typed values and ``reject_reason``, NULL for a good line."""
-    placed = "market" in lines.columns if dataset.per_market else "asset" in lines.columns
-    df = lines if placed else place_by_path(lines, dataset)
-    if BAD_LINE not in df.columns:
-        df = df.withColumn(BAD_LINE, F.lit(None).cast("string"))
     if dataset.per_market:
         misplaced = is_market_name(F.col("market")) & F.col("maturity").isNull()
         reason = F.when(misplaced, "market name holds no valid maturity")
@@ -93,8 +96,7 @@ def _typed(lines: DataFrame, dataset: Dataset) -> DataFrame:
         reason = F.when(F.col("exchange").isNull(), "funding file name holds no asset")
     seconds = F.col(dataset.timestamp)
     return (
-        df.withColumn(dataset.timestamp, epoch_seconds(seconds))
-        .withColumns({c: permissive_double(F.col(c)) for c in dataset.numbers})
+        lines.withColumn(dataset.timestamp, epoch_seconds(seconds))
         .withColumns({c: F.col(c).try_cast("long") for c in dataset.longs})
         .withColumn(
             "reject_reason",

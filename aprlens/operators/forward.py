@@ -1,10 +1,12 @@
 """Forward averages: mean of a pair's daily rates over [date, end] for very many intervals.
 
-A range join would emit every day of every interval. Instead daily rates become running totals, spread over
-the calendar days between them, and an interval costs two equality lookups: the total through its end minus
-the total before its start. The lookup table holds one row per pair and calendar day, which the calendar
-bounds; it does not grow with the observations. Spark broadcasts it where its measured size allows and
-shuffles both sides by (exchange, asset, day) otherwise, where a hot end day is left to skew-join splitting.
+A range join would emit every day of every interval. Instead daily rates become running totals and an
+interval costs two equality lookups: the total through its end minus the total before its start.
+
+The lookup table has one page per pair and calendar month. A page holds the totals after each day of the
+month, so a lookup is an array access, and months without a rate repeat the last total. Its size follows
+pairs and months, not observations. Spark broadcasts it where it is small enough and otherwise shuffles both
+sides by (exchange, asset, month); skew-join splitting then takes care of a hot pair.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.timing import as_date
 
 PAIR = ["exchange", "asset"]
+DAY_SLOTS = 32
 
 
 def forward_prefix(underlying_daily: DataFrame) -> DataFrame:
@@ -32,34 +35,61 @@ def forward_prefix(underlying_daily: DataFrame) -> DataFrame:
     )
 
 
-def calendar_totals(underlying_daily: DataFrame, through: Column) -> DataFrame:
-    """The running totals on every day from a pair's first rate to its last one or ``through``.
+def _month(day: Column) -> Column:
+    return F.trunc(day, "month")
+
+
+def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
+    """``sums``, ``days`` and ``rates`` of every pair and month, from its first rate to its last or ``through``.
 
-    ``*Before`` excludes and ``*Through`` includes the day itself; ``dayRate`` is NULL on filled days.
+    Slot 0 of the first two is the total before the month, slot n the total after its n-th day; ``rates``
+    has the rate of the n-th day itself, NULL on a day without.
     """
-    order = Window.partitionBy(*PAIR).orderBy("date")
-    last_day = F.coalesce(F.date_sub("nextDate", 1), F.greatest("date", through))
-    own_day = F.col("day") == F.col("date")
-    return (
+    by_date = Window.partitionBy(*PAIR).orderBy("date")
+    date, following = F.col("date"), F.col("nextDate")
+    same_month = _month(following) == _month(date)
+    entry = F.struct(
+        F.dayofmonth(date).alias("day"),
+        F.when(same_month, F.datediff(following, date)).otherwise(DAY_SLOTS - F.dayofmonth(date)).alias("span"),
+        "realizedApr",
+        "rateSum",
+        "rateDays",
+        (F.col("rateDays") - 1).alias("daysBefore"),
+        "sumBefore",
+        "nextDate",
+    )
+    months = (
         forward_prefix(underlying_daily)
-        .withColumns(
-            {
-                "nextDate": F.lead("date").over(order),
-                "priorSum": F.lag("rateSum", 1, 0.0).over(order),
-                "priorDays": F.lag("rateDays", 1, 0).over(order),
-            }
-        )
-        .withColumn("day", F.explode(F.sequence("date", last_day)))
-        .select(
-            *PAIR,
-            "day",
-            F.when(own_day, F.col("realizedApr")).alias("dayRate"),
-            F.when(own_day, F.col("priorSum")).otherwise(F.col("rateSum")).alias("sumBefore"),
-            F.when(own_day, F.col("priorDays")).otherwise(F.col("rateDays")).alias("daysBefore"),
-            F.col("rateSum").alias("sumThrough"),
-            F.col("rateDays").alias("daysThrough"),
-        )
+        .withColumns({"nextDate": F.lead(date).over(by_date), "sumBefore": F.lag("rateSum", 1, 0.0).over(by_date)})
+        .groupBy(*PAIR, _month(date).alias("ownMonth"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
+    first, last, own = F.get("entries", F.lit(0)), F.element_at("entries", -1), F.col("ownMonth")
+    last_page = F.coalesce(F.add_months(_month(last["nextDate"]), -1), F.greatest(own, _month(through)))
+
+    def slots(before: Column, spread) -> Column:
+        return F.concat(F.array_repeat(before, first["day"]), F.flatten(F.transform("entries", spread)))
+
+    def page(field: str, before: str) -> Column:
+        filled = slots(first[before], lambda e: F.array_repeat(e[field], e["span"]))
+        return F.when(F.col("month") == own, filled).otherwise(F.array_repeat(last[field], DAY_SLOTS))
+
+    missing = F.lit(None).cast("double")
+    rates = slots(missing, lambda e: F.concat(F.array(e["realizedApr"]), F.array_repeat(missing, e["span"] - 1)))
+    return months.withColumn("month", F.explode(F.sequence(own, last_page, F.expr("INTERVAL 1 MONTH")))).select(
+        *PAIR,
+        "month",
+        page("rateSum", "sumBefore").alias("sums"),
+        page("rateDays", "daysBefore").alias("days"),
+        F.when(F.col("month") == own, rates).alias("rates"),
+    )
+
+
+def _look_up(rows: DataFrame, pages: DataFrame, day: str, values: dict[str, Column]) -> DataFrame:
+    """Add ``values``, expressions over the page that holds ``day``; NULL where there is none."""
+    key = [*PAIR, "month"]
+    joined = rows.withColumn("month", _month(F.col(day))).join(pages, key, "left")
+    return joined.select(*rows.columns, *[v.alias(k) for k, v in values.items()])
 
 
 def with_forward_average(
@@ -71,18 +101,21 @@ def with_forward_average(
     with a rate in [date, min(maturity, as_of)]: NULL and 0 where there is none or no maturity.
     """
     as_of = as_date(as_of)
-    totals = calendar_totals(underlying_daily, as_of)
-    start = totals.select(*PAIR, F.col("day").alias("date"), "dayRate", "sumBefore", "daysBefore")
-    end = totals.select(*PAIR, F.col("day").alias("forwardEnd"), "sumThrough", "daysThrough")
-    days = F.coalesce(F.col("daysThrough"), F.lit(0)) - F.coalesce(F.col("daysBefore"), F.lit(0))
-    open_interval = F.col("forwardEnd") >= F.col("date")
-    total = F.col("sumThrough") - F.coalesce(F.col("sumBefore"), F.lit(0.0))
+    pages = rate_pages(underlying_daily, as_of)
+    start, end = F.dayofmonth("date"), F.dayofmonth("forwardEnd")
+    rows = rows.withColumn("forwardEnd", F.when(F.col("maturity").isNotNull(), F.least("maturity", as_of)))
+    at_start = {
+        "realizedDailyApr": F.get("rates", start),
+        "sumBefore": F.get("sums", start - 1),
+        "daysBefore": F.get("days", start - 1),
+    }
+    at_end = {"sumThrough": F.get("sums", end), "daysThrough": F.get("days", end)}
+    rows = _look_up(_look_up(rows, pages, "date", at_start), pages, "forwardEnd", at_end)
+    days = F.coalesce("daysThrough", F.lit(0)) - F.coalesce("daysBefore", F.lit(0))
+    total = F.col("sumThrough") - F.coalesce("sumBefore", F.lit(0.0))
+    used = F.when((F.col("forwardEnd") >= F.col("date")) & (days > 0), days).otherwise(0)
     return (
-        rows.withColumn("forwardEnd", F.when(F.col("maturity").isNotNull(), F.least("maturity", as_of)))
-        .join(start, [*PAIR, "date"], "left")
-        .join(end, [*PAIR, "forwardEnd"], "left")
-        .withColumn("forwardDaysUsed", F.when(open_interval, F.greatest(days, F.lit(0))).otherwise(0).cast("long"))
+        rows.withColumn("forwardDaysUsed", used.cast("long"))
         .withColumn("realizedForwardApr", F.when(F.col("forwardDaysUsed") > 0, total / F.col("forwardDaysUsed")))
-        .withColumnRenamed("dayRate", "realizedDailyApr")
         .drop("sumBefore", "daysBefore", "sumThrough", "daysThrough")
     )

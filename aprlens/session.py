@@ -18,5 +18,7 @@ def local_session(cpus: int | None = None, name: str = "aprlens") -> SparkSessio
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM leaves longer methods uncompiled; Spark then does better without fusing that stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.numeric import permissive_double
+
 ARCHIVE_GLOB = "*.ndjson.zip"
 ARCHIVE_SUFFIX = ".ndjson.zip"
 LISTING_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -91,24 +93,46 @@ def scan_archives(
     return scan_blocks(files, inline_bytes).select(relative_path(F.col("path"), prefix).alias("source_path"), "block")
 
 
-def parse_lines(blocks: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per non-blank line: ``fields`` as text, and the line itself where it is no JSON object.
+def _once(value: Column) -> Column:
+    """``value`` by way of a generator: Spark does not copy it into each filter and column that uses it."""
+    return F.explode(F.array(value))
+
 
-    Columns beside ``block`` are kept; whatever they hold was computed once per block, not per line.
+def parse_lines(blocks: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+    """One row per non-blank line: ``numbers`` as doubles, ``texts`` as they are, and in ``BAD_LINE`` a line
+    that is no JSON object.
+
+    Numbers are read as such by the JSON reader. Only a line where one is written as text, or is no number
+    at all, is read a second time as text and parsed permissively. Columns beside ``block`` are kept;
+    whatever they hold was computed once per block, not per line.
     """
     carried = [c for c in blocks.columns if c != "block"]
-    line = F.btrim("line", F.lit(" \t\r\n\f\v"))
-    schema = ", ".join(f"`{f}` string" for f in [*fields, BAD_LINE])
-    record = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE})
-    well_formed = F.col("line").startswith("{") & F.is_valid_utf8("line")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+
+    def record(number: str) -> Column:
+        fields = [f"`{n}` {number}" for n in numbers] + [f"`{t}` string" for t in [*texts, BAD_LINE]]
+        return F.from_json("line", ", ".join(fields), options)
+
+    typed, plain = F.col("typed"), F.col("plain")
+    smooth = typed[BAD_LINE].isNull()
+    parsed = F.transform(F.array(*[plain[n] for n in numbers]), permissive_double)
+    well_formed = F.col("line").rlike(r"^\s*\{") & F.is_valid_utf8("line")
     return (
         blocks.select(*carried, F.explode(F.split(F.col("block").cast("string"), "\n")).alias("line"))
-        .withColumn("line", line)
-        .where(F.col("line") != "")
-        .withColumn("record", record)
+        .where(F.col("line").rlike(r"\S"))
+        .select(*carried, "line", _once(record("double")).alias("typed"))
+        .select(*carried, "line", "typed", _once(F.when(~smooth, record("string"))).alias("plain"))
+        .select(
+            *carried,
+            "line",
+            "typed",
+            "plain",
+            _once(F.when(smooth, F.array(*[typed[n] for n in numbers])).otherwise(parsed)).alias("values"),
+        )
         .select(
             *carried,
-            *[F.col("record")[f].alias(f) for f in fields],
-            F.when(well_formed, F.col("record")[BAD_LINE]).otherwise(F.col("line")).alias(BAD_LINE),
+            *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(numbers)],
+            *[typed[t].alias(t) for t in texts],
+            F.when(well_formed, plain[BAD_LINE]).otherwise(F.col("line")).alias(BAD_LINE),
         )
     )
