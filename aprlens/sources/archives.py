@@ -115,7 +115,9 @@ def parse_lines(blocks: DataFrame, numbers: list[str], texts: list[str]) -> Data
 
     typed, plain = F.col("typed"), F.col("plain")
     smooth = typed[BAD_LINE].isNull()
-    parsed = F.transform(F.array(*[plain[n] for n in numbers]), permissive_double)
+    # Read as text, an unquoted NaN or Infinity comes back in quotes.
+    unquote = lambda text: F.regexp_replace(text, '^"(-?[A-Za-z]+)"$', "$1")
+    parsed = F.transform(F.array(*[plain[n] for n in numbers]), lambda text: permissive_double(unquote(text)))
     well_formed = F.col("line").rlike(r"^\s*\{") & F.is_valid_utf8("line")
     return (
         blocks.select(*carried, F.explode(F.split(F.col("block").cast("string"), "\n")).alias("line"))
