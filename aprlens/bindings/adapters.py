@@ -6,7 +6,7 @@ so that no average falls on a rounding tie. ``oracle.py`` holds the same views a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.markets import asset_of_symbol, exchange_name
 
@@ -24,89 +24,89 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _choose(names: list[str], index: Column) -> Column:
-    out = F.lit(names[-1])
-    for i, name in reversed(list(enumerate(names[:-1]))):
-        out = F.when(index == i, name).otherwise(out)
-    return out
+def _choose(names: list[str], index: str) -> str:
+    return " ".join([f"CASE {index}", *[f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)], "END"])
 
 
-def venue(key: Column) -> Column:
-    return _choose(VENUES, key % len(VENUES))
+def venue(key: str) -> str:
+    return _choose(VENUES, f"({key}) % {len(VENUES)}")
 
 
-def symbol(key: Column) -> Column:
-    return _choose(SYMBOLS, F.floor(key / len(VENUES)))
+def symbol(key: str) -> str:
+    return _choose(SYMBOLS, f"({key}) div {len(VENUES)}")
 
 
-def market_of(key: Column, day: Column, line: Column) -> Column:
-    """Market name: maturity is the end of the quarter, for every other line of the one after."""
-    quarter = F.trunc(F.add_months(day, (line % 2) * 3), "quarter")
-    maturity = F.last_day(F.add_months(quarter, 2))
-    month = F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month(maturity) - 1)
-    text = F.concat(F.dayofmonth(maturity).cast("string"), month, F.year(maturity).cast("string"))
-    return F.concat_ws("-", key.cast("string"), venue(key), symbol(key), text)
+def market_of(key: str, maturity: str) -> str:
+    text = f"dayofmonth({maturity}), {_choose(MONTHS, f'month({maturity}) - 1')}, year({maturity})"
+    return f"concat_ws('-', {key}, {venue(key)}, {symbol(key)}, concat({text}))"
 
 
-def _seconds(moment: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), moment)
+SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', {})"
 
 
-def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    d, t = F.col("l_discount") * F.lit(RATE_SCALE), F.col("l_tax") * F.lit(RATE_SCALE)
-    day = F.col("l_shipdate").cast("date")
-    return table(spark, sf, "lineitem").select(
-        market_of(F.col("l_suppkey") % KEYS, day, F.col("l_linenumber")).alias("market"),
-        _seconds(F.col("l_shipdate")).alias("timestamp"),
-        day.alias("date"),
-        F.col("l_orderkey").alias("blockNumber"),
-        F.when(F.col("l_linenumber") != 7, d).alias("midApr"),
-        (d - 0.001).alias("bestBid"),
-        (d + 0.001).alias("bestAsk"),
-        ((d + t) / 2).alias("ammImpliedApr"),
-        t.alias("markApr"),
-        F.col("l_extendedprice").alias("notionalOI"),
-        d.alias("lastTradedApr"),
-        t.alias("latestSettlementApr"),
-        F.col("l_linenumber").alias("line"),
+def _lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Line items with their market; maturity is the end of the quarter, for every other line of the one after."""
+    day = "CAST(l_shipdate AS DATE)"
+    maturity = f"last_day(add_months(trunc(add_months({day}, l_linenumber % 2 * 3), 'quarter'), 2))"
+    return (
+        table(spark, sf, "lineitem")
+        .selectExpr("*", f"{day} AS date", f"{maturity} AS mat", f"l_suppkey % {KEYS} AS k")
+        .selectExpr(f"{market_of('k', 'mat')} AS market", "date", *columns)
     )
 
 
-def funding(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("o_custkey") % KEYS
-    return table(spark, sf, "orders").select(
-        exchange_name(venue(key)).alias("exchange"),
-        asset_of_symbol(symbol(key)).alias("asset"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        (F.col("o_totalprice") / FUNDING_SCALE).alias("annualizedFundingRate"),
+def _rate(name: str) -> str:
+    return f"{name} * {RATE_SCALE!r}D"
+
+
+D, T = _rate("l_discount"), _rate("l_tax")
+
+
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(
+        spark,
+        sf,
+        f"{SECONDS.format('l_shipdate')} AS timestamp",
+        "l_orderkey AS blockNumber",
+        f"IF(l_linenumber <> 7, {D}, NULL) AS midApr",
+        f"{D} - 0.001D AS bestBid",
+        f"{D} + 0.001D AS bestAsk",
+        f"({D} + {T}) / 2 AS ammImpliedApr",
+        f"{T} AS markApr",
+        "l_extendedprice AS notionalOI",
+        f"{D} AS lastTradedApr",
+        f"{T} AS latestSettlementApr",
     )
 
 
-def settlements(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.col("l_shipdate").cast("date")
+def funding(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        table(spark, sf, "lineitem")
-        .where(F.col("l_returnflag") == "R")
-        .select(
-            market_of(F.col("l_suppkey") % KEYS, day, F.col("l_linenumber")).alias("market"),
-            _seconds(F.col("l_shipdate")).alias("timestamp"),
-            day.alias("date"),
-            F.col("l_orderkey").alias("blockNumber"),
-            (F.col("l_tax") * F.lit(RATE_SCALE)).alias("settlementApr"),
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("txHash"),
+        table(spark, sf, "orders")
+        .selectExpr("*", f"o_custkey % {KEYS} AS k")
+        .selectExpr("*", f"{venue('k')} AS venue", f"{symbol('k')} AS symbol")
+        .selectExpr(
+            f"{exchange_name('venue')} AS exchange",
+            f"{asset_of_symbol('symbol')} AS asset",
+            "CAST(o_orderdate AS DATE) AS date",
+            f"o_totalprice / {FUNDING_SCALE} AS annualizedFundingRate",
         )
     )
 
 
+def settlements(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(
+        spark,
+        sf,
+        f"{SECONDS.format('l_shipdate')} AS timestamp",
+        "l_orderkey AS blockNumber",
+        f"{T} AS settlementApr",
+        "concat_ws('-', l_orderkey, l_linenumber) AS txHash",
+        "l_returnflag",
+    ).where("l_returnflag = 'R'").drop("l_returnflag")
+
+
 def candles_in(spark: SparkSession, sf: str) -> DataFrame:
-    d, q = F.col("l_discount") * F.lit(RATE_SCALE), F.col("l_quantity")
-    day = F.col("l_shipdate").cast("date")
-    rows = table(spark, sf, "lineitem").select(
-        market_of(F.col("l_suppkey") % KEYS, day, F.col("l_linenumber")).alias("market"),
-        day.alias("date"),
-        d.alias("d"),
-        q.alias("q"),
-    )
+    rows = _lines(spark, sf, f"{D} AS d", "l_quantity AS q")
     return rows.groupBy("market", "date").agg(
         F.round(F.avg("d"), 6).alias("open"),
         F.round(F.max("d"), 6).alias("high"),

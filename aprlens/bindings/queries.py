@@ -6,7 +6,6 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from ..functions import markets as mk
 from ..functions import numeric as nm
@@ -21,8 +20,7 @@ REGISTRY: dict[str, Query] = {}
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals and -0.0 to 0.0, so that two engines print the same number."""
-    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
-    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"round({c}, 6) + 0.0D AS {c}" if kind == "double" else c for c, kind in df.dtypes])
 
 
 def query(function: Query) -> Query:
@@ -79,13 +77,16 @@ def market_meta(spark, sf):
 
 @query
 def underlying_key(spark, sf):
-    key = F.col("o_custkey") % KEYS
-    stem = F.concat_ws("-", venue(key), F.lower(symbol(key)), F.substring("o_orderpriority", 1, 1))
-    plain = F.concat_ws("-", mk.exchange_name(venue(key)), symbol(key))
-    stems = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, plain).otherwise(stem).alias("stem"))
-    return stems.groupBy("stem").agg(F.count(F.lit(1)).alias("files")).select(
-        "stem", mk.funding_exchange(F.col("stem")).alias("exchange"), mk.funding_asset(F.col("stem")).alias("asset"), "files"
+    rows = (
+        table(spark, sf, "orders")
+        .selectExpr("*", f"o_custkey % {KEYS} AS k")
+        .selectExpr("o_orderkey", "o_orderpriority", f"{venue('k')} AS venue", f"{symbol('k')} AS symbol")
     )
+    plain = f"concat_ws('-', {mk.exchange_name('venue')}, symbol)"
+    coded = "concat_ws('-', venue, lower(symbol), left(o_orderpriority, 1))"
+    stems = rows.selectExpr(f"IF(o_orderkey % 2 = 0, {plain}, {coded}) AS stem")
+    counted = stems.groupBy("stem").agg(F.count(F.lit(1)).alias("files"))
+    return counted.selectExpr("stem", f"{mk.funding_exchange('stem')} AS exchange", f"{mk.funding_asset('stem')} AS asset", "files")
 
 
 def _number_text(event_id: Column, value: Column) -> Column:
@@ -206,8 +207,8 @@ def market_daily_events(spark, sf):
     """Event values as snapshots: several a day, some of them not finite."""
     value = F.col("value") / 5003
     mid = F.when(F.col("event_id") % 11 == 0, float("nan")).when(F.col("event_id") % 13 == 0, float("inf")).otherwise(value)
-    key = F.col("user_id") % KEYS
-    market = F.concat_ws("-", key.cast("string"), venue(key), symbol(key), F.lit("29MAR2024"))
+    key = f"user_id % {KEYS}"
+    market = F.expr(f"concat_ws('-', {key}, {venue(key)}, {symbol(key)}, '29MAR2024')")
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts")
     rows = table(spark, sf, "events").select(
         market.alias("market"),

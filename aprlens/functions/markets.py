@@ -1,10 +1,14 @@
-"""Market names ``<id>-<VENUE>-<SYMBOL>-<DDMONYYYY>`` and funding file names ``<Exchange>-<ASSET>``."""
+"""Market names ``<id>-<VENUE>-<SYMBOL>-<DDMONYYYY>`` and funding file names ``<Exchange>-<ASSET>``.
+
+The functions take and return SQL text: a lookup table is one expression to hand over instead of a hundred
+calls, which is most of the time it takes to build a plan.
+"""
 
 from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 # Display names of the known venues.
 EXCHANGE_NAMES = {
@@ -38,76 +42,94 @@ ASSET_ALIASES = {
     "XYZ100": "XYZ100",
 }
 
+# Month names of a maturity.
+MONTHS = {
+    "JAN": "01", "FEB": "02", "MAR": "03", "APR": "04", "MAY": "05", "JUN": "06", "JUL": "07", "AUG": "08",
+    "SEP": "09", "OCT": "10", "NOV": "11", "DEC": "12",
+}
+
 # The market name pattern, the length of its maturity, the symbol prefix that is not part of the asset.
-MARKET_PATTERN = r"^\d+-[^-]+-.+-\d{2}[A-Z]{3}\d{4}$"
+MARKET_PATTERN = "^[0-9]+-[^-]+-.+-[0-9]{2}[A-Z]{3}[0-9]{4}$"
 MATURITY_LENGTH = 9
+LETTER = "\\\\p{L}"
 SYMBOL_PREFIX = "xyz"
 QUOTE_SUFFIX = "USDT"
 
 MARKET_COLUMNS = ["market_id", "venue", "exchange", "symbol", "asset", "maturity"]
 
 
-def _lookup(entries: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*entries.items())]), key)
+def _lookup(entries: dict[str, str], key: str) -> str:
+    pairs = ", ".join(f"'{word}'" for word in chain(*entries.items()))
+    return f"try_element_at(map({pairs}), {key})"
 
 
-def title_case(text: Column) -> Column:
+def title_case(text: str) -> str:
     """Upper-case every letter that does not follow a letter, lower-case the rest."""
-    letters = F.split(text, "")
-    cased = F.transform(
-        letters,
-        lambda c, i: F.when((i > 0) & F.get(letters, i - 1).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)),
-    )
-    return F.array_join(cased, "")
+    letters = f"split({text}, '')"
+    starts_word = f"i = 0 OR NOT get({letters}, i - 1) RLIKE '{LETTER}'"
+    return f"array_join(transform({letters}, (c, i) -> IF({starts_word}, upper(c), lower(c))), '')"
 
 
-def exchange_name(venue: Column) -> Column:
-    return F.coalesce(_lookup(EXCHANGE_NAMES, venue), title_case(venue))
+def exchange_name(venue: str) -> str:
+    return f"coalesce({_lookup(EXCHANGE_NAMES, venue)}, {title_case(venue)})"
 
 
-def asset_of_symbol(symbol: Column) -> Column:
-    token = F.upper(
-        F.when(symbol.startswith(SYMBOL_PREFIX), F.substring(symbol, len(SYMBOL_PREFIX) + 1, 1 << 20)).otherwise(symbol)
-    )
-    return F.coalesce(_lookup(ASSET_ALIASES, token), F.regexp_replace(token, f"{QUOTE_SUFFIX}$", ""))
+def asset_of_symbol(symbol: str) -> str:
+    plain = f"IF(startswith({symbol}, '{SYMBOL_PREFIX}'), substring({symbol}, {len(SYMBOL_PREFIX) + 1}), {symbol})"
+    token = f"upper({plain})"
+    stripped = f"IF(endswith({token}, '{QUOTE_SUFFIX}'), left({token}, length({token}) - {len(QUOTE_SUFFIX)}), {token})"
+    return f"coalesce({_lookup(ASSET_ALIASES, plain)}, {_lookup(ASSET_ALIASES, token)}, {stripped})"
 
 
-def maturity_date(text: Column) -> Column:
-    return F.try_to_date(text, "ddMMMyyyy")
+def maturity_date(text: str) -> str:
+    """``DDMONYYYY`` to a date, NULL where there is no such day."""
+    month = _lookup(MONTHS, f"substring({text}, 3, 3)")
+    return f"try_cast(concat(substring({text}, 6, 4), '-', {month}, '-', left({text}, 2)) AS DATE)"
 
 
-def is_market_name(market: Column) -> Column:
-    return market.rlike(MARKET_PATTERN)
+def is_market_name(market: str) -> str:
+    return f"{market} RLIKE '{MARKET_PATTERN}'"
 
 
 def with_market_columns(df: DataFrame) -> DataFrame:
     """Add the six columns a ``market`` name encodes; NULL throughout for a name of another form.
 
     They depend on the name alone, so aggregating jobs group by ``market`` and call this on the result. The
-    pattern is matched once; the first two parts hold no dash, so the rest are cut out by position.
+    pattern is matched once; the first two parts hold no dash, so the rest are cut out by position. The
+    generator keeps Spark from moving a later filter on these columns, with the whole of their derivation,
+    below the aggregate onto the raw rows.
     """
-    name, parts = F.col("market"), F.col("_parts")
-    cut = F.length(F.col("market_id")) + F.length(F.col("venue")) + 2
+    kept = [f"`{c}`" for c in df.columns if c not in MARKET_COLUMNS]
+    cut = "length(market_id) + length(venue) + 2"
     return (
-        df.drop(*MARKET_COLUMNS)
-        .withColumn("_parts", F.when(is_market_name(name), F.split(name, "-", 3)))
-        .withColumns({"market_id": F.get(parts, F.lit(0)), "venue": F.get(parts, F.lit(1))})
-        .withColumns(
-            {
-                "symbol": F.substring(name, cut + 1, F.length(name) - cut - MATURITY_LENGTH - 1),
-                "maturity": maturity_date(F.when(parts.isNotNull(), F.right(name, F.lit(MATURITY_LENGTH)))),
-            }
+        df.selectExpr(*kept, f"IF({is_market_name('market')}, market, NULL) AS _name")
+        .selectExpr(
+            *kept,
+            "_name",
+            "substring_index(_name, '-', 1) AS market_id",
+            "substring_index(substring_index(_name, '-', 2), '-', -1) AS venue",
+        )
+        .selectExpr(
+            *kept,
+            "market_id",
+            "venue",
+            f"substring(_name, {cut} + 1, length(_name) - ({cut}) - {MATURITY_LENGTH + 1}) AS symbol",
+            f"right(_name, {MATURITY_LENGTH}) AS _maturity",
+        )
+        .selectExpr(
+            *kept,
+            f"explode(array(struct(market_id, venue, {exchange_name('venue')} AS exchange, symbol, "
+            f"{asset_of_symbol('symbol')} AS asset, {maturity_date('_maturity')} AS maturity))) AS _parts",
         )
-        .withColumns({"exchange": exchange_name(F.col("venue")), "asset": asset_of_symbol(F.col("symbol"))})
-        .drop("_parts")
+        .selectExpr(*kept, "_parts.*")
     )
 
 
-def funding_exchange(stem: Column) -> Column:
+def funding_exchange(stem: str) -> str:
     """Exchange of a funding file, NULL when the name has no dash."""
-    return F.when(stem.contains("-"), F.split(stem, "-", 2)[0])
+    return f"IF(contains({stem}, '-'), substring_index({stem}, '-', 1), NULL)"
 
 
-def funding_asset(stem: Column) -> Column:
-    asset = F.upper(F.get(F.split(stem, "-", 2), F.lit(1)))
-    return F.coalesce(_lookup(ASSET_ALIASES, asset), asset)
+def funding_asset(stem: str) -> str:
+    asset = f"upper(substring({stem}, nullif(instr({stem}, '-'), 0) + 1))"
+    return f"coalesce({_lookup(ASSET_ALIASES, asset)}, {asset})"

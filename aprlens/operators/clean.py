@@ -66,11 +66,11 @@ OHLCV_1D = Dataset(
 
 def place_by_path(df: DataFrame, dataset: Dataset) -> DataFrame:
     """Add what the archive's path says: its market's columns, or exchange and asset of a funding file."""
-    steps = F.split("source_path", "/")
+    steps = "split(source_path, '/')"
     if dataset.per_market:
-        return with_market_columns(df.withColumn("market", F.element_at(steps, -2)))
-    stem = F.regexp_replace(F.element_at(steps, -1), f"{ARCHIVE_SUFFIX.replace('.', '[.]')}$", "")
-    return df.withColumns({"exchange": funding_exchange(stem), "asset": funding_asset(stem)})
+        return with_market_columns(df.selectExpr("*", f"element_at({steps}, -2) AS market"))
+    stem = f"replace(element_at({steps}, -1), '{ARCHIVE_SUFFIX}', '')"
+    return df.selectExpr("*", f"{funding_exchange(stem)} AS exchange", f"{funding_asset(stem)} AS asset")
 
 
 def read_lines(spark: SparkSession, root: str, dataset: Dataset) -> DataFrame:
@@ -90,7 +90,7 @@ def epoch_seconds(value: Column) -> Column:
 def _typed(lines: DataFrame, dataset: Dataset) -> DataFrame:
     """All lines with typed values and ``reject_reason``, NULL for a good line."""
     if dataset.per_market:
-        misplaced = is_market_name(F.col("market")) & F.col("maturity").isNull()
+        misplaced = F.expr(is_market_name("market")) & F.col("maturity").isNull()
         reason = F.when(misplaced, "market name holds no valid maturity")
     else:
         reason = F.when(F.col("exchange").isNull(), "funding file name holds no asset")

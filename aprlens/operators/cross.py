@@ -24,9 +24,10 @@ def cross_exchange(series: DataFrame) -> DataFrame:
 def cross_exchange_wide(stitched: DataFrame, asset: str, exchanges: list[str] | None = None) -> DataFrame:
     """One row per day, one column per exchange in alphabetical order, NULL where it has no rate.
 
-    Naming the exchanges spares the extra job a pivot would run to find them.
+    The exchanges are named by the caller, by default all known ones: one aggregate, and no job to find them.
     """
-    exchanges = sorted(exchanges or EXCHANGE_NAMES.values())
-    return (
-        stitched.where(F.col("asset") == asset).groupBy("d").pivot("exchange", exchanges).agg(F.first("implied"))
-    )
+    columns = [
+        F.max(F.when(F.col("exchange") == name, F.col("implied"))).alias(name)
+        for name in sorted(exchanges or EXCHANGE_NAMES.values())
+    ]
+    return stitched.where(F.col("asset") == asset).groupBy("d").agg(*columns)

@@ -86,12 +86,12 @@ def test_assets(spark):
     cases = {"xyzGOLD": "XAU", "CLUSDT": "CLOIL", "PEPEUSDT": "PEPE", "XYZ100": "XYZ100", "xyzXYZ100": "XYZ100",
              "sp500": "S&P500", "btcusdt": "BTC", "DOGE": "DOGE"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
-    assert dict(rows_of(df.select("s", mk.asset_of_symbol(F.col("s"))))) == cases
+    assert dict(rows_of(df.selectExpr("s", mk.asset_of_symbol("s")))) == cases
 
 
 def test_funding_names(spark):
     df = spark.createDataFrame([("Binance-btc-x",), ("Gate-gold",), ("nodash",)], "s string")
-    got = rows_of(df.select(mk.funding_exchange(F.col("s")), mk.funding_asset(F.col("s"))))
+    got = rows_of(df.selectExpr(mk.funding_exchange("s"), mk.funding_asset("s")))
     assert got == [("Binance", "BTC-X"), ("Gate", "XAU"), (None, None)]
 
 
