@@ -48,14 +48,14 @@ def comparison_with_samples(
     as_of: Column | dt.date | str | None = None,
 ) -> DataFrame:
     """The comparison plus ``settlementSamples``, for jobs that go on to the per-market series."""
-    rows = with_settlement(market_daily, settlement_daily)
-    implied, realized, ahead = (F.col(c) for c in ("impliedApr", "realizedDailyApr", "realizedForwardApr"))
-    return (
-        with_forward_average(rows, underlying_daily, as_of)
-        .withColumn("impliedApr", F.coalesce("midApr", "markApr"))
-        .withColumns({"dailyBasisApr": implied - realized, "forwardBasisApr": implied - ahead})
-        .select(*COMPARISON_COLUMNS, "settlementSamples")
-    )
+    rows = with_forward_average(with_settlement(market_daily, settlement_daily), underlying_daily, as_of)
+    derived = {
+        "impliedApr": "coalesce(midApr, markApr)",
+        "dailyBasisApr": "coalesce(midApr, markApr) - realizedDailyApr",
+        "forwardBasisApr": "coalesce(midApr, markApr) - realizedForwardApr",
+    }
+    columns = [f"{derived[c]} AS {c}" if c in derived else c for c in COMPARISON_COLUMNS]
+    return rows.selectExpr(*columns, "settlementSamples")
 
 
 def apr_comparison(

@@ -35,10 +35,6 @@ def forward_prefix(underlying_daily: DataFrame) -> DataFrame:
     )
 
 
-def _month(day: Column) -> Column:
-    return F.trunc(day, "month")
-
-
 def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
     """``sums``, ``days`` and ``rates`` of every pair and month, from its first rate to its last or ``through``.
 
@@ -46,50 +42,41 @@ def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
     has the rate of the n-th day itself, NULL on a day without.
     """
     by_date = Window.partitionBy(*PAIR).orderBy("date")
-    date, following = F.col("date"), F.col("nextDate")
-    same_month = _month(following) == _month(date)
-    entry = F.struct(
-        F.dayofmonth(date).alias("day"),
-        F.when(same_month, F.datediff(following, date)).otherwise(DAY_SLOTS - F.dayofmonth(date)).alias("span"),
-        "realizedApr",
-        "rateSum",
-        "rateDays",
-        (F.col("rateDays") - 1).alias("daysBefore"),
-        "sumBefore",
-        "nextDate",
+    entry = F.expr(
+        f"""struct(dayofmonth(date) AS day,
+        IF(trunc(nextDate, 'month') = trunc(date, 'month'), datediff(nextDate, date), {DAY_SLOTS} - dayofmonth(date)) AS span,
+        realizedApr, rateSum, rateDays, rateDays - 1 AS daysBefore, sumBefore, nextDate)"""
     )
     months = (
         forward_prefix(underlying_daily)
-        .withColumns({"nextDate": F.lead(date).over(by_date), "sumBefore": F.lag("rateSum", 1, 0.0).over(by_date)})
-        .groupBy(*PAIR, _month(date).alias("ownMonth"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        .withColumns({"nextDate": F.lead("date").over(by_date), "sumBefore": F.lag("rateSum", 1, 0.0).over(by_date)})
+        .groupBy(*PAIR, F.trunc("date", "month").alias("ownMonth"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.max(F.trunc(through, "month")).alias("lastMonth"))
     )
-    first, last, own = F.get("entries", F.lit(0)), F.element_at("entries", -1), F.col("ownMonth")
-    last_page = F.coalesce(F.add_months(_month(last["nextDate"]), -1), F.greatest(own, _month(through)))
 
-    def slots(before: Column, spread) -> Column:
-        return F.concat(F.array_repeat(before, first["day"]), F.flatten(F.transform("entries", spread)))
+    def slots(before: str, spread: str) -> str:
+        return f"concat(array_repeat({before}, entries[0].day), flatten(transform(entries, e -> {spread})))"
 
-    def page(field: str, before: str) -> Column:
-        filled = slots(first[before], lambda e: F.array_repeat(e[field], e["span"]))
-        return F.when(F.col("month") == own, filled).otherwise(F.array_repeat(last[field], DAY_SLOTS))
+    def page(field: str, before: str) -> str:
+        filled = slots(f"entries[0].{before}", f"array_repeat(e.{field}, e.span)")
+        return f"IF(month = ownMonth, {filled}, array_repeat(element_at(entries, -1).{field}, {DAY_SLOTS}))"
 
-    missing = F.lit(None).cast("double")
-    rates = slots(missing, lambda e: F.concat(F.array(e["realizedApr"]), F.array_repeat(missing, e["span"] - 1)))
-    return months.withColumn("month", F.explode(F.sequence(own, last_page, F.expr("INTERVAL 1 MONTH")))).select(
+    missing = "CAST(NULL AS DOUBLE)"
+    rates = slots(missing, f"concat(array(e.realizedApr), array_repeat({missing}, e.span - 1))")
+    until = "coalesce(add_months(trunc(element_at(entries, -1).nextDate, 'month'), -1), greatest(ownMonth, lastMonth))"
+    return months.selectExpr("*", f"explode(sequence(ownMonth, {until}, INTERVAL 1 MONTH)) AS month").selectExpr(
         *PAIR,
         "month",
-        page("rateSum", "sumBefore").alias("sums"),
-        page("rateDays", "daysBefore").alias("days"),
-        F.when(F.col("month") == own, rates).alias("rates"),
+        f"{page('rateSum', 'sumBefore')} AS sums",
+        f"{page('rateDays', 'daysBefore')} AS days",
+        f"IF(month = ownMonth, {rates}, NULL) AS rates",
     )
 
 
-def _look_up(rows: DataFrame, pages: DataFrame, day: str, values: dict[str, Column]) -> DataFrame:
-    """Add ``values``, expressions over the page that holds ``day``; NULL where there is none."""
-    key = [*PAIR, "month"]
-    joined = rows.withColumn("month", _month(F.col(day))).join(pages, key, "left")
-    return joined.select(*rows.columns, *[v.alias(k) for k, v in values.items()])
+def _look_up(rows: DataFrame, pages: DataFrame, day: str, *values: str) -> DataFrame:
+    """Add ``values``, SQL over the page that holds ``day``; NULL where there is none."""
+    joined = rows.withColumn("month", F.trunc(day, "month")).join(pages, [*PAIR, "month"], "left")
+    return joined.selectExpr(*rows.columns, *values)
 
 
 def with_forward_average(
@@ -102,20 +89,26 @@ def with_forward_average(
     """
     as_of = as_date(as_of)
     pages = rate_pages(underlying_daily, as_of)
-    start, end = F.dayofmonth("date"), F.dayofmonth("forwardEnd")
     rows = rows.withColumn("forwardEnd", F.when(F.col("maturity").isNotNull(), F.least("maturity", as_of)))
-    at_start = {
-        "realizedDailyApr": F.get("rates", start),
-        "sumBefore": F.get("sums", start - 1),
-        "daysBefore": F.get("days", start - 1),
-    }
-    at_end = {"sumThrough": F.get("sums", end), "daysThrough": F.get("days", end)}
-    rows = _look_up(_look_up(rows, pages, "date", at_start), pages, "forwardEnd", at_end)
-    days = F.coalesce("daysThrough", F.lit(0)) - F.coalesce("daysBefore", F.lit(0))
-    total = F.col("sumThrough") - F.coalesce("sumBefore", F.lit(0.0))
-    used = F.when((F.col("forwardEnd") >= F.col("date")) & (days > 0), days).otherwise(0)
-    return (
-        rows.withColumn("forwardDaysUsed", used.cast("long"))
-        .withColumn("realizedForwardApr", F.when(F.col("forwardDaysUsed") > 0, total / F.col("forwardDaysUsed")))
-        .drop("sumBefore", "daysBefore", "sumThrough", "daysThrough")
+    kept = rows.columns
+    rows = _look_up(
+        rows,
+        pages,
+        "date",
+        "get(rates, dayofmonth(date)) AS realizedDailyApr",
+        "get(sums, dayofmonth(date) - 1) AS sumBefore",
+        "get(days, dayofmonth(date) - 1) AS daysBefore",
+    )
+    rows = _look_up(
+        rows,
+        pages,
+        "forwardEnd",
+        "get(sums, dayofmonth(forwardEnd)) AS sumThrough",
+        "IF(forwardEnd >= date, greatest(get(days, dayofmonth(forwardEnd)) - coalesce(daysBefore, 0), 0), 0) AS used",
+    )
+    return rows.selectExpr(
+        *kept,
+        "realizedDailyApr",
+        "coalesce(used, 0) AS forwardDaysUsed",
+        "IF(used > 0, (sumThrough - coalesce(sumBefore, 0)) / used, NULL) AS realizedForwardApr",
     )
