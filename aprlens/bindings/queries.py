@@ -192,7 +192,7 @@ def _comparison(spark: SparkSession, sf: str) -> DataFrame:
     return compare.comparison_with_samples(
         daily.market_daily(snapshots(spark, sf)),
         daily.underlying_daily(funding(spark, sf)),
-        daily.settlement_daily(settlements(spark, sf)),
+        daily.settlement_rates(settlements(spark, sf)),
         AS_OF,
     )
 
@@ -252,7 +252,7 @@ def daily_realized(spark, sf):
 
 @query
 def daily_settlement(spark, sf):
-    rows = compare.with_settlement(daily.market_daily(snapshots(spark, sf)), daily.settlement_daily(settlements(spark, sf)))
+    rows = compare.with_settlement(daily.market_daily(snapshots(spark, sf)), daily.settlement_rates(settlements(spark, sf)))
     return rows.select("market", "date", "samples", "settlementApr", "settlementSamples")
 
 
@@ -370,7 +370,7 @@ def compact_series(spark, sf):
 @query
 def settlement_samples(spark, sf):
     """Settlement counts looked up for a comparison that does not carry them."""
-    settled = daily.settlement_daily(settlements(spark, sf))
+    settled = daily.settlement_rates(settlements(spark, sf))
     rows = daily.market_daily(snapshots(spark, sf)).select("market", "date", "samples")
     return site.with_settlement_samples(rows, settled)
 

@@ -34,8 +34,13 @@ def underlying_daily(funding: DataFrame) -> DataFrame:
     )
 
 
-def settlement_daily(settlements: DataFrame) -> DataFrame:
-    """Per market and day: all settlements counted, finite rates averaged."""
+def settlement_rates(settlements: DataFrame) -> DataFrame:
+    """Per market and day: all settlements counted, finite rates averaged. All that a join with it needs."""
     rate = finite_mean(number(settlements, "settlementApr")).alias("settlementApr")
-    daily = settlements.groupBy("market", "date").agg(F.count(F.lit(1)).alias("samples"), rate)
-    return with_market_columns(daily).select(*MARKET_KEYS, "date", "samples", "settlementApr")
+    return settlements.groupBy("market", "date").agg(F.count(F.lit(1)).alias("samples"), rate)
+
+
+def settlement_daily(settlements: DataFrame) -> DataFrame:
+    """The same with what the market names imply."""
+    daily = with_market_columns(settlement_rates(settlements))
+    return daily.select(*MARKET_KEYS, "date", "samples", "settlementApr")
