@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, packing, quality, setsketch, sharding, token_codes
+from . import archives, embed_dedup, licenses, packing, pieces, quality, setsketch, sharding, surrogates, token_codes
 from .shared import table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,23 @@ def length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_batches(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def archive_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(table(spark, sf_dir, "pages"))
+
+
+def piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +57,11 @@ QUERIES = {
     "op2_quality_rules": quality_rules,
     "op3_token_ids": token_ids,
     "op4_length_packing": length_packing,
+    "op5_archive_conversion": archive_conversion,
+    "op6_piece_sampling": piece_sampling,
+    "op7_pii_surrogates": pii_surrogates,
     "op8_minhash_near_dedup": minhash_near_dedup,
+    "op9_license_scan": license_scan,
     "op10_vector_sharding": vector_sharding,
 }
 

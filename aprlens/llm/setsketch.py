@@ -160,18 +160,21 @@ def _plausible(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``: one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] | None = None) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``head``: one row per row of ``docs``, with the columns
+    named in ``carried``.
 
     Two rows are linked when 100 x shared shingles >= ``similarity`` x all their shingles. ``component_id`` is the
     smallest ``doc_id`` reachable by links; a row is kept if that is its own. Texts without words (null, empty,
     blank) have an empty set, link with nothing and are kept. Rows with equal sets form one class, which only its
-    first row represents, so thousands of copies cost one set. A repeated doc_id is a node per row. A null doc_id
+    first row represents, so thousands of copies cost one set. ``head`` marks one row of each component, the first by
+    doc_id, also where doc_ids repeat. A repeated doc_id is a node per row. A null doc_id
     takes part in links, is never the smallest, and is kept only if nothing else is in its component. Other columns
     are ignored; an empty table gives an empty result.
     """
-    source = docs.select("doc_id", F.col("text").alias("_text"))
-    fields = f"doc_id {source.schema['doc_id'].dataType.simpleString()}"
+    carried = carried or []
+    source = docs.select("doc_id", *carried, F.col("text").alias("_text"))
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ["doc_id", *carried])
     rows = source.mapInArrow(_batched(_signatures), f"{fields}, n_shingles long, print binary, registers binary")
     rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "signatures")
     filled = rows.where("n_shingles > 0")
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
         done = leaders.select("band", F.col("a").alias("node"))
         members = members.select("band", "node").join(done, ["band", "node"], "left_anti")
         leading *= 2
-    return _with_components(rows, classes, links)
+    return _with_components(rows, classes, links, carried)
 
 
 def _confirmed(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
@@ -253,17 +256,17 @@ def _confirmed(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity
     return met.where(100 * shared >= similarity * union).select("a", "b")
 
 
-def _with_components(rows: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        of_class = classes.select("print", F.col("first_id").alias("component_id"))
-    else:
-        linked = components(links)
-        named = classes.join(linked, F.col("node") == F.col("id"), "left")
-        named = named.select("print", "first_id", F.coalesce("component", "node").alias("of"))
-        least = named.groupBy("of").agg(F.min("first_id").alias("component_id"))
-        of_class = named.join(least, "of").select("print", "component_id")
-    out = rows.join(of_class.withColumnRenamed("print", "_print"), F.col("print") == F.col("_print"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+def _with_components(rows: DataFrame, classes: DataFrame, links: DataFrame | None, carried: list[str]) -> DataFrame:
+    named = classes.withColumn("of", F.col("node"))
+    if links is not None:
+        named = classes.join(components(links), F.col("node") == F.col("id"), "left")
+        named = named.withColumn("of", F.coalesce("component", "node"))
+    first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("first")
+    least = named.groupBy("of").agg(first).select("of", F.col("first.first_id").alias("component_id"), F.col("first.node").alias("head_node"))
+    of_class = named.join(least, "of").select(F.col("print").alias("_print"), "component_id", "head_node")
+    out = rows.join(of_class, F.col("print") == F.col("_print"), "left")
+    filled = F.col("n_shingles") > 0
+    component = F.when(filled, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    head = (F.when(filled, F.col("row") == F.col("head_node")).otherwise(F.lit(True))).alias("head")
+    out = out.select("doc_id", *carried, "n_shingles", component, head)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

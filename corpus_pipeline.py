@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aprlens.llm import packing, quality, setsketch
+from aprlens.llm import packing, quality, setsketch, surrogates
 from aprlens.llm.shared import kept, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,9 +19,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    verdicts = setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates, that with the smallest doc_id. Rows are told apart by id and
+    text, so a repeated id does not take another document with it; of wholly equal rows one stays."""
+    key = F.coalesce(F.sha2(F.col("text"), 256), F.lit("")).alias("_key")
+    marked = setsketch.near_duplicates(docs.select("doc_id", "text", key), carried=["_key"])
+    heads = marked.where("head").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).distinct()
+    keyed = docs.withColumn("_key", key)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
+    return keyed.join(heads, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets replaced by surrogates; every document stays."""
+    return surrogates.with_surrogates(docs).select(*docs.columns)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +39,12 @@ def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.packed_batches(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("packing", length_packing)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("personal data", personal_data),
+    ("packing", length_packing),
+]
 
 #: The forest, the keyed surrogates and the tokenizer have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
