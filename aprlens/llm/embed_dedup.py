@@ -37,7 +37,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for v in batch.column("_vector").to_pylist():
             x = None if v is None or any(c is None for c in v) else np.array(v, np.float64)
-            out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            if x is None or not np.isfinite(x).all() or not x.any():
+                out.append(None)
+            else:  # scaled by a power of two, which is exact, so that no product overflows
+                out.append(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes())
         at = batch.schema.get_field_index("_vector")
         yield batch.set_column(at, "vector", pa.array(out, pa.binary()))
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import archives, embed_dedup, licenses, packing, pieces, quality, setsketch, sharding, surrogates, token_codes
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
 VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -45,7 +46,8 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    found = setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +66,3 @@ QUERIES = {
     "op9_license_scan": license_scan,
     "op10_vector_sharding": vector_sharding,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] |
             )
         ).alias("band"),
     )
-    members, links, tested, linked, leading = bands, None, None, None, 1
+    members, tested, linked, sets, leading = bands, None, None, None, 1
     while True:
         of = members.withColumn("of", F.col("node"))
         if linked is not None:
@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] |
         members = kept(of.join(unsettled, "band"), "members")
         if members.isEmpty():
             break
-        # Each pass compares twice as many members of a bucket with the rest: near copies are settled by the first
-        # pass, and a bucket of unlike texts needs few more.
+        # Each pass compares more members of a bucket with the rest: near copies are settled by the first pass, and a
+        # bucket of unlike texts needs few more.
         if leading == 1:
             leaders = members.where("node = hub")
         else:
@@ -223,18 +223,22 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] |
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = kept(pairs, "pairs")
         if not pairs.isEmpty():
-            found = kept(_confirmed(source, heads, pairs, similarity), "links")
-            links = found if links is None else links.unionByName(found)
+            likely, sets = _likely(source, heads, pairs, similarity, sets)
+            found = kept(_confirmed(likely, sets, similarity), "links")
             tested = pairs if tested is None else tested.unionByName(pairs)
-            linked = kept(components(links), "linked")
+            if not found.isEmpty():
+                if linked is not None:
+                    found = found.unionByName(linked.select(F.col("id").alias("a"), F.col("component").alias("b")))
+                linked = kept(components(found), "linked")
         done = leaders.select("band", F.col("a").alias("node"))
         members = members.select("band", "node").join(done, ["band", "node"], "left_anti")
-        leading *= 2
-    return _with_components(rows, classes, links, carried)
+        leading *= 8
+    return _with_components(rows, classes, linked, carried)
 
 
-def _confirmed(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
-    """The pairs of class nodes whose full shingle sets reach ``similarity`` per cent."""
+def _likely(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: int, sets: DataFrame | None):
+    """The pairs of class nodes that their sketches leave possible, and the shingle sets of all nodes in them, of
+    which ``sets`` has those already read."""
 
     def side(x: str) -> DataFrame:
         return heads.select(
@@ -244,22 +248,32 @@ def _confirmed(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = kept(both.mapInArrow(_plausible(similarity / 100), "a long, b long"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("node"), "node", "left_anti")
     wanted = kept(heads.join(wanted, "node", "left_semi").select("node", "doc_id", "print"), "wanted")
-    texts = source.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if wanted.isEmpty() and sets is not None:
+        return likely, sets
+    ids = wanted.select(F.col("doc_id").alias("_id"))
+    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     full = texts.select("_text").mapInArrow(_batched(_full_sets), "print binary, shingles array<long>")
     full = full.join(wanted.select("node", "print"), "print").select("node", "shingles")
     full = kept(full.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    met = likely.join(full.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b")
-    met = met.join(full.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
+    return likely, full if sets is None else sets.unionByName(full)
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs whose full shingle sets reach ``similarity`` per cent."""
+    met = likely.join(sets.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b")
+    met = met.join(sets.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
     shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     union = F.size("of_a") + F.size("of_b") - shared
     return met.where(100 * shared >= similarity * union).select("a", "b")
 
 
-def _with_components(rows: DataFrame, classes: DataFrame, links: DataFrame | None, carried: list[str]) -> DataFrame:
+def _with_components(rows: DataFrame, classes: DataFrame, linked: DataFrame | None, carried: list[str]) -> DataFrame:
     named = classes.withColumn("of", F.col("node"))
-    if links is not None:
-        named = classes.join(components(links), F.col("node") == F.col("id"), "left")
+    if linked is not None:
+        named = classes.join(linked, F.col("node") == F.col("id"), "left")
         named = named.withColumn("of", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("first")
     least = named.groupBy("of").agg(first).select("of", F.col("first.first_id").alias("component_id"), F.col("first.node").alias("head_node"))

@@ -252,7 +252,7 @@ def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
     Emails, phone, card (with a right check digit), identity and access numbers, IPv4 addresses, assigned secrets and
     names after a form of address are found. Null texts stay null, texts without entities stay as they are, repeated
     rows and null ids are kept, columns other than ``text`` are carried whatever their names (those that begin with
-    two underscores are reserved), and an empty table gives an empty result.
+    two underscores are reserved, ``n_entities`` is replaced), and an empty table gives an empty result.
     """
     matches = F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))
     listed = docs.select(F.col("doc_id").alias("__doc"), F.explode(matches).alias("__match"))
@@ -271,4 +271,6 @@ def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
     woven = F.zip_with(between, swapped, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     number = F.aggregate("__found", F.lit(0).cast("long"), lambda n, m: n + F.size(_entities(m)))
     rows = rows.withColumn("text", F.when(F.size("__found") > 0, F.array_join(woven, "")).otherwise(F.col("text")))
-    return rows.withColumn("n_entities", F.coalesce(number, F.lit(0))).select(*docs.columns, "n_entities")
+    return rows.withColumn("n_entities", F.coalesce(number, F.lit(0))).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], "n_entities"
+    )

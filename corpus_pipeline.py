@@ -13,9 +13,10 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the rules keep. Rows are carried through the scan, so a null or repeated doc_id loses none."""
-    carried = [c for c in docs.columns if c != "text"]
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), [*carried, "text"])
-    return judged.where("kept").select(*docs.columns)
+    own = {c: c if c in ("doc_id", "text") else f"__{c}" for c in docs.columns}  # apart from the rules' columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    judged = quality.quality_rules(plain, table(spark, sf_dir, "labels"), list(own.values()))
+    return judged.where("kept").select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced by surrogates; every document stays."""
-    return surrogates.with_surrogates(docs).select(*docs.columns)
+    return surrogates.with_surrogates(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
