@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, kept
+from .shared import components, kept, least_roots
 
 BLOCK = 2048  # vectors of a cell compared at once with as many others
 CELL = 8192  # vectors for which a label gets one pivot more
@@ -77,21 +77,6 @@ def _cells(pivots: dict, radius: float):
     return run
 
 
-def _roots(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least id that rows ``a`` and columns ``b`` reach through the links (i, j) of one block pair."""
-    a, b = a.copy(), b.copy()
-    by_j = np.argsort(j, kind="stable")
-    rows, row_at = np.unique(i, return_index=True)
-    columns, column_at = np.unique(j[by_j], return_index=True)
-    while len(i):
-        was = a[rows].sum() + b[columns].sum()
-        a[rows] = np.minimum(a[rows], np.minimum.reduceat(b[j], row_at))
-        b[columns] = np.minimum(b[columns], np.minimum.reduceat(a[i[by_j]], column_at))
-        if a[rows].sum() + b[columns].sum() == was:
-            break
-    return a, b
-
-
 def _links(threshold: float):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         own, other = block[block["own"]], block[~block["own"]]
@@ -103,7 +88,7 @@ def _links(threshold: float):
         a, b = own["node"].to_numpy(np.int64), other["node"].to_numpy(np.int64)
         linked &= a[:, None] != b[None, :]
         i, j = np.nonzero(linked)
-        root_a, root_b = _roots(i, j, a, b)
+        root_a, root_b = least_roots(i, j, a, b)
         weight = other["copies"].to_numpy(np.int64)
         links = np.bincount(i, weights=weight[j], minlength=len(a)).astype(np.int64)
         met = np.bincount(j, minlength=len(b)) > 0

@@ -12,10 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, kept
+from .shared import components, kept, least_roots
 from .words import LOWER, Scan, chunks, mixed
 
 WIDTH = 5  # words in a shingle
@@ -160,7 +161,9 @@ def _plausible(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] | None = None) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, similarity: int = 75, carried: list[str] | None = None, small_bucket: int = 32, block: int = 512
+) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``head``: one row per row of ``docs``, with the columns
     named in ``carried``.
 
@@ -170,7 +173,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] |
     first row represents, so thousands of copies cost one set. ``head`` marks one row of each component, the first by
     doc_id, also where doc_ids repeat. A repeated doc_id is a node per row. A null doc_id
     takes part in links, is never the smallest, and is kept only if nothing else is in its component. Other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. ``small_bucket`` and ``block`` change the work, never the
+    result.
     """
     carried = carried or []
     source = docs.select("doc_id", *carried, F.col("text").alias("_text"))
@@ -195,50 +199,109 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, carried: list[str] |
             )
         ).alias("band"),
     )
-    members, tested, linked, sets, leading = bands, None, None, None, 1
-    while True:
-        of = members.withColumn("of", F.col("node"))
-        if linked is not None:
-            of = members.join(linked, F.col("node") == F.col("id"), "left")
-            of = of.select("band", "node", F.coalesce("component", "node").alias("of"))
-        # A bucket is settled once its members, without those compared with all others, are in one component.
-        unsettled = of.groupBy("band").agg(
-            F.min("of").alias("low"), F.max("of").alias("high"), F.min("node").alias("hub")
-        )
-        unsettled = unsettled.where("low < high").select("band", "hub")
-        members = kept(of.join(unsettled, "band"), "members")
-        if members.isEmpty():
-            break
-        # Each pass compares more members of a bucket with the rest: near copies are settled by the first pass, and a
-        # bucket of unlike texts needs few more.
-        if leading == 1:
-            leaders = members.where("node = hub")
-        else:
-            place = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-            leaders = members.withColumn("place", place).where(F.col("place") <= leading)
-        leaders = kept(leaders.select("band", F.col("node").alias("a"), F.col("of").alias("of_a")), "leaders")
-        pairs = leaders.join(members, "band").where("a < node and of_a <> of")
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept(pairs, "pairs")
-        if not pairs.isEmpty():
-            likely, sets = _likely(source, heads, pairs, similarity, sets)
-            found = kept(_confirmed(likely, sets, similarity), "links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if not found.isEmpty():
-                if linked is not None:
-                    found = found.unionByName(linked.select(F.col("id").alias("a"), F.col("component").alias("b")))
-                linked = kept(components(found), "linked")
-        done = leaders.select("band", F.col("a").alias("node"))
-        members = members.select("band", "node").join(done, ["band", "node"], "left_anti")
-        leading *= 8
+    # First pass: every class against the least one of each of its buckets.
+    members = kept(_unsettled(bands.withColumn("of", F.col("node"))), "members")
+    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = kept(pairs, "pairs")
+    likely, sets = _likely(source, heads, pairs, similarity)
+    linked = kept(components(kept(_confirmed(likely, sets, similarity), "links")), "linked")
+    # Second pass: what a bucket still holds of unlinked classes. A small one lists its pairs; large ones that overlap
+    # form a cluster, whose sets are compared block by block, and only links leave a task.
+    of = members.join(linked, F.col("node") == F.col("id"), "left")
+    of = of.select("band", "node", F.coalesce("component", "node").alias("of"))
+    members = _unsettled(of).select("band", "node", "of", "hub", "size")
+    members = kept(members, "unsettled")
+    small = members.where(F.col("size") <= small_bucket)
+    more = small.select("band", F.col("node").alias("a"), F.col("of").alias("of_a"))
+    more = more.join(small.select("band", F.col("node").alias("b"), F.col("of").alias("of_b")), "band")
+    more = more.where("a < b and of_a <> of_b").select("a", "b").distinct()
+    more = kept(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    large = members.where(F.col("size") > small_bucket)
+    cluster = kept(components(large.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "clusters")
+    likely, sets = _likely(source, heads, more, similarity, sets, cluster.select(F.col("id").alias("node")))
+    found = kept(
+        _confirmed(likely, sets, similarity).unionByName(_within(cluster, large, sets, similarity, block)), "links"
+    )
+    if not found.isEmpty():
+        earlier = linked.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        linked = kept(components(found.unionByName(earlier)), "linked")
     return _with_components(rows, classes, linked, carried)
 
 
-def _likely(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: int, sets: DataFrame | None):
-    """The pairs of class nodes that their sketches leave possible, and the shingle sets of all nodes in them, of
-    which ``sets`` has those already read."""
+def _unsettled(members: DataFrame) -> DataFrame:
+    """The rows (band, node, of) of buckets whose nodes are in more than one component ``of``, with the bucket's
+    ``size`` and least node ``hub``."""
+    stats = members.groupBy("band").agg(
+        F.min("of").alias("low"), F.max("of").alias("high"), F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")
+    )
+    return members.join(stats.where("low < high").select("band", "hub", "size"), "band")
+
+
+def _linked_block(similarity: int):
+    """Links between the classes of two blocks of a cluster, each class with the least one it reaches there."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if right.empty:
+            right = left  # a block with itself
+        x, y = list(left["shingles"]), list(right["shingles"])
+        nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+        shared = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, len(common), 8192):
+            part = common[at : at + 8192]
+            shared += _incidence(x, part) @ _incidence(y, part).T
+        near = (100 + similarity) * shared >= similarity * (nx[:, None] + ny[None, :])
+        near &= left["of"].to_numpy()[:, None] != right["of"].to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        a, b = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
+        root_a, root_b = least_roots(i, j, a, b)
+        met_a, met_b = np.unique(i), np.unique(j)
+        return pd.DataFrame(
+            {"a": np.concatenate([a[met_a], b[met_b]]), "b": np.concatenate([root_a[met_a], root_b[met_b]])}
+        )
+
+    return run
+
+
+def _incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(part)), np.float32)
+    for k, s in enumerate(sets):
+        at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+        out[k, at[part[at] == s]] = 1
+    return out
+
+
+def _within(cluster: DataFrame, large: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
+    """Links between unlike components of each cluster (id, component), by pairs of blocks of about ``block``."""
+    size = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = large.select("node", "of").distinct().join(cluster, F.col("node") == F.col("id"))
+    own = own.join(size, "component").join(sets, "node")
+    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    own = own.select("component", "node", "of", "shingles", "own", other)
+    dealt = own.select(
+        "component",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "node",
+        "of",
+        "shingles",
+    )
+    return dealt.groupBy("component", "i", "j").applyInPandas(_linked_block(similarity), "a long, b long")
+
+
+def _likely(
+    source: DataFrame,
+    heads: DataFrame,
+    pairs: DataFrame,
+    similarity: int,
+    sets: DataFrame | None = None,
+    besides: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs of class nodes that their sketches leave possible, and the shingle sets of all nodes in them and of
+    the nodes ``besides``; ``sets`` has those already read."""
 
     def side(x: str) -> DataFrame:
         return heads.select(
@@ -247,7 +310,8 @@ def _likely(source: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: i
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = kept(both.mapInArrow(_plausible(similarity / 100), "a long, b long"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = (wanted if besides is None else wanted.unionByName(besides)).distinct()
     if sets is not None:
         wanted = wanted.join(sets.select("node"), "node", "left_anti")
     wanted = kept(heads.join(wanted, "node", "left_semi").select("node", "doc_id", "print"), "wanted")

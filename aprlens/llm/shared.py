@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 INDEX_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -101,3 +102,18 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
     roots = star.select(F.col("a").alias("id"), F.col("b").alias("component"))
     alone = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return alone.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def least_roots(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that rows ``a`` and columns ``b`` reach through the links (i, j) of one block pair."""
+    a, b = a.copy(), b.copy()
+    by_j = np.argsort(j, kind="stable")
+    rows, row_at = np.unique(i, return_index=True)
+    columns, column_at = np.unique(j[by_j], return_index=True)
+    while len(i):
+        was = a[rows].sum() + b[columns].sum()
+        a[rows] = np.minimum(a[rows], np.minimum.reduceat(b[j], row_at))
+        b[columns] = np.minimum(b[columns], np.minimum.reduceat(a[i[by_j]], column_at))
+        if a[rows].sum() + b[columns].sum() == was:
+            break
+    return a, b

@@ -104,8 +104,10 @@ def test_unlike_members_of_one_bucket_are_all_compared(spark):
         own = [word() for _ in range(30)]
         rows.append((2 * i, " ".join(passage + own)))
         rows.append((2 * i + 1, " ".join(passage + own[:-1] + [word()])))
-    found = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i in range(24)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for knobs in ({}, {"small_bucket": 3, "block": 5}):
+        found = setsketch.near_duplicates(docs, **knobs).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i in range(24)}
 
 
 def test_sketch_estimates_and_merges():
