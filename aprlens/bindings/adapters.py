@@ -1,6 +1,6 @@
 """Test tables seen as market snapshots, funding rates, settlements and candles.
 
-``l_suppkey`` and ``o_custkey`` choose one of 28 venue and symbol combinations. Rates are divided by primes
+``l_suppkey`` and ``o_custkey`` choose one of 40 venue and symbol combinations. Rates are divided by primes
 so that no average falls on a rounding tie. ``oracle.py`` holds the same views as SQL.
 """
 
@@ -12,8 +12,9 @@ from ..functions.markets import asset_of_symbol, exchange_name
 
 AS_OF = "2001-06-30"
 
-VENUES = ["BINANCE", "HYPERLIQUID", "OKX", "BYBIT", "GATE", "KUCOIN", "LIGHTER"]
-SYMBOLS = ["BTCUSDT", "ETHUSDT", "xyzGOLD", "SP500"]
+# The last venue and the last symbol are in no look-up.
+VENUES = ["BINANCE", "HYPERLIQUID", "OKX", "BYBIT", "GATE", "KUCOIN", "LIGHTER", "NOVA_dex2x"]
+SYMBOLS = ["BTCUSDT", "ETHUSDT", "xyzGOLD", "SP500", "xyzadaUSDT"]
 KEYS = len(VENUES) * len(SYMBOLS)
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 RATE_SCALE = 1000 / 1009

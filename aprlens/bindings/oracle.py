@@ -15,27 +15,27 @@ QUERIES: dict[str, str] = {}
 
 def _venue(k: str) -> str:
     return (
-        f"CASE {k} % 7 WHEN 0 THEN 'BINANCE' WHEN 1 THEN 'HYPERLIQUID' WHEN 2 THEN 'OKX' WHEN 3 THEN 'BYBIT' "
-        "WHEN 4 THEN 'GATE' WHEN 5 THEN 'KUCOIN' ELSE 'LIGHTER' END"
+        f"CASE {k} % 8 WHEN 0 THEN 'BINANCE' WHEN 1 THEN 'HYPERLIQUID' WHEN 2 THEN 'OKX' WHEN 3 THEN 'BYBIT' "
+        "WHEN 4 THEN 'GATE' WHEN 5 THEN 'KUCOIN' WHEN 6 THEN 'LIGHTER' ELSE 'NOVA_dex2x' END"
     )
 
 
 def _exchange(k: str) -> str:
     return (
-        f"CASE {k} % 7 WHEN 0 THEN 'Binance' WHEN 1 THEN 'Hyperliquid' WHEN 2 THEN 'OKX' WHEN 3 THEN 'Bybit' "
-        "WHEN 4 THEN 'Gate' WHEN 5 THEN 'KuCoin' ELSE 'Lighter' END"
+        f"CASE {k} % 8 WHEN 0 THEN 'Binance' WHEN 1 THEN 'Hyperliquid' WHEN 2 THEN 'OKX' WHEN 3 THEN 'Bybit' "
+        "WHEN 4 THEN 'Gate' WHEN 5 THEN 'KuCoin' WHEN 6 THEN 'Lighter' ELSE 'Nova_Dex2X' END"
     )
 
 
 def _symbol(k: str) -> str:
     return (
-        f"CASE CAST(floor({k} / 7) AS BIGINT) % 4 WHEN 0 THEN 'BTCUSDT' WHEN 1 THEN 'ETHUSDT' "
-        "WHEN 2 THEN 'xyzGOLD' ELSE 'SP500' END"
+        f"CASE CAST(floor({k} / 8) AS BIGINT) % 5 WHEN 0 THEN 'BTCUSDT' WHEN 1 THEN 'ETHUSDT' "
+        "WHEN 2 THEN 'xyzGOLD' WHEN 3 THEN 'SP500' ELSE 'xyzadaUSDT' END"
     )
 
 
 def _asset(symbol: str) -> str:
-    return f"CASE {symbol} WHEN 'BTCUSDT' THEN 'BTC' WHEN 'ETHUSDT' THEN 'ETH' WHEN 'xyzGOLD' THEN 'XAU' ELSE 'S&P500' END"
+    return f"CASE {symbol} WHEN 'BTCUSDT' THEN 'BTC' WHEN 'ETHUSDT' THEN 'ETH' WHEN 'xyzGOLD' THEN 'XAU' WHEN 'SP500' THEN 'S&P500' ELSE 'ADA' END"
 
 
 def _r(expression: str) -> str:
@@ -51,7 +51,7 @@ def _parts(market: str = "market") -> str:
 
     names = (
         f"CASE {group(2)} WHEN 'BINANCE' THEN 'Binance' WHEN 'HYPERLIQUID' THEN 'Hyperliquid' WHEN 'BYBIT' THEN 'Bybit' "
-        f"WHEN 'GATE' THEN 'Gate' WHEN 'KUCOIN' THEN 'KuCoin' WHEN 'LIGHTER' THEN 'Lighter' ELSE {group(2)} END"
+        f"WHEN 'GATE' THEN 'Gate' WHEN 'KUCOIN' THEN 'KuCoin' WHEN 'LIGHTER' THEN 'Lighter' WHEN 'NOVA_dex2x' THEN 'Nova_Dex2X' ELSE {group(2)} END"
     )
     return (
         f"{group(1)} AS market_id, {group(2)} AS venue, {names} AS exchange, {group(3)} AS symbol, "
@@ -60,7 +60,7 @@ def _parts(market: str = "market") -> str:
 
 
 CTES["raw_lines"] = f"""
-SELECT *, l_suppkey % 28 AS k, CAST(l_shipdate AS DATE) AS day,
+SELECT *, l_suppkey % 40 AS k, CAST(l_shipdate AS DATE) AS day,
   l_discount * (CAST(1000 AS DOUBLE) / 1009) AS d, l_tax * (CAST(1000 AS DOUBLE) / 1009) AS t,
   CAST(last_day(date_trunc('quarter', CAST(l_shipdate AS DATE) + to_months(CAST(3 * (l_linenumber % 2) AS INTEGER)))
     + INTERVAL 2 MONTH) AS DATE) AS mat
@@ -75,7 +75,7 @@ SELECT market, CAST(epoch(l_shipdate) AS BIGINT) AS timestamp, day AS date, l_or
   t AS latestSettlementApr
 FROM named_lines"""
 CTES["funding"] = f"""
-SELECT {_exchange('o_custkey % 28')} AS exchange, {_asset(_symbol('(o_custkey % 28)'))} AS asset,
+SELECT {_exchange('o_custkey % 40')} AS exchange, {_asset(_symbol('(o_custkey % 40)'))} AS asset,
   CAST(o_orderdate AS DATE) AS date, o_totalprice / 5000011 AS annualizedFundingRate
 FROM orders"""
 CTES["settlements"] = """
@@ -232,8 +232,8 @@ _add(
     f"""SELECT stem, split_part(stem, '-', 1) AS exchange,
   CASE upper(substr(stem, strpos(stem, '-') + 1)) WHEN 'BTCUSDT' THEN 'BTC' WHEN 'ETHUSDT' THEN 'ETH' WHEN 'SP500' THEN 'S&P500'
     ELSE upper(substr(stem, strpos(stem, '-') + 1)) END AS asset, CAST(count(*) AS BIGINT) AS files
-FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN concat({_exchange('(o_custkey % 28)')}, '-', {_symbol('(o_custkey % 28)')})
-    ELSE concat({_venue('(o_custkey % 28)')}, '-', lower({_symbol('(o_custkey % 28)')}), '-', substr(o_orderpriority, 1, 1)) END AS stem
+FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN concat({_exchange('(o_custkey % 40)')}, '-', {_symbol('(o_custkey % 40)')})
+    ELSE concat({_venue('(o_custkey % 40)')}, '-', lower({_symbol('(o_custkey % 40)')}), '-', substr(o_orderpriority, 1, 1)) END AS stem
   FROM orders) GROUP BY stem""",
 )
 _add(
@@ -300,7 +300,7 @@ _add(
     CAST(count(*) AS BIGINT) AS samples, avg(v) FILTER (event_id % 11 <> 0 AND event_id % 13 <> 0) AS midApr,
     avg(v) FILTER (event_type = 'click') AS markApr, avg(v) AS ammImpliedApr, CAST(NULL AS DOUBLE) AS latestSettlementApr,
     avg(v * 2) AS notionalOI
-  FROM (SELECT *, user_id % 28 AS k, value / 5003 AS v FROM events) GROUP BY 1, 2))""",
+  FROM (SELECT *, user_id % 40 AS k, value / 5003 AS v FROM events) GROUP BY 1, 2))""",
 )
 _add("underlying_daily", f"SELECT exchange, asset, date, samples, {_r('realizedApr')} AS realizedApr FROM funding_day")
 _add("settlement_daily", f"SELECT {_KEYS}, date, samples, {_r('settlementApr')} AS settlementApr FROM settlement_day")
@@ -476,12 +476,10 @@ _add(
 FROM (SELECT {_asset(_symbol('k'))} AS asset FROM raw_lines)""",
 )
 _add("cross_exchange", f"SELECT asset, exchange, d, maturity, {_r('implied')} AS implied FROM stitched")
-_EXCHANGES = ["Binance", "Bybit", "Gate", "Hyperliquid", "KuCoin", "Lighter", "OKX"]
 _add(
     "cross_exchange_wide",
-    "SELECT d, "
-    + ", ".join(f"""{_r(f"max(CASE WHEN exchange = '{e}' THEN implied END)")} AS "{e}" """ for e in _EXCHANGES)
-    + "FROM stitched WHERE asset = 'BTC' GROUP BY d",
+    f"""SELECT * FROM (PIVOT (SELECT d, exchange, {_r('implied')} AS implied FROM stitched WHERE asset = 'BTC')
+  ON exchange USING max(implied) GROUP BY d)""",
 )
 
 # --- charts

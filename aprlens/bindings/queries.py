@@ -493,7 +493,8 @@ def cross_exchange(spark, sf):
 
 @query
 def cross_exchange_wide(spark, sf):
-    return cross.cross_exchange_wide(cross.cross_exchange(_series(spark, sf)), "BTC")
+    exchanges = cross.exchanges_of(snapshots(spark, sf), "BTC")
+    return cross.cross_exchange_wide(cross.cross_exchange(_series(spark, sf)), "BTC", exchanges)
 
 
 # --- charts --------------------------------------------------------------------------------------------------

@@ -78,7 +78,7 @@ def asset_of_symbol(symbol: str) -> str:
     plain = f"IF(startswith({symbol}, '{SYMBOL_PREFIX}'), substring({symbol}, {len(SYMBOL_PREFIX) + 1}), {symbol})"
     token = f"upper({plain})"
     stripped = f"IF(endswith({token}, '{QUOTE_SUFFIX}'), left({token}, length({token}) - {len(QUOTE_SUFFIX)}), {token})"
-    return f"coalesce({_lookup(ASSET_ALIASES, plain)}, {_lookup(ASSET_ALIASES, token)}, {stripped})"
+    return f"coalesce({_lookup(ASSET_ALIASES, token)}, {stripped})"
 
 
 def maturity_date(text: str) -> str:

@@ -55,15 +55,22 @@ def padded_domain(df: DataFrame, values: list[Column], by: list[str] | None = No
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal columns that takes NULL for equal to NULL; keeps the left ones."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(right, same, how).drop(*[f"_{c}" for c in by])
+
+
 def histogram(df: DataFrame, value: Column, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Counts of the finite values in equal buckets over their padded domain; empty buckets are kept.
 
-    Without ``by`` the domain is one row and broadcast; with it, it is joined on ``by``.
+    Without ``by`` the domain is one row and broadcast; with it, it is joined on ``by``, where NULL is a group too.
     """
     by = by or []
     domain = padded_domain(df, [value], by)
     points = df.select(*by, finite(value).alias("value")).where(F.col("value").isNotNull())
-    ranged = points.join(domain, by) if by else points.crossJoin(F.broadcast(domain))
+    ranged = null_safe_join(points, domain, by) if by else points.crossJoin(F.broadcast(domain))
     place = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)
     counts = (
         ranged.select(*by, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place)).cast("long").alias("bucket"))
@@ -72,7 +79,7 @@ def histogram(df: DataFrame, value: Column, by: list[str] | None = None, buckets
     )
     step = (F.col("hi") - F.col("lo")) / buckets
     grid = domain.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    return grid.join(counts, [*by, "bucket"], "left").select(
+    return null_safe_join(grid, counts, [*by, "bucket"], "left").select(
         *by,
         "bucket",
         (F.col("lo") + F.col("bucket") * step).alias("lo"),

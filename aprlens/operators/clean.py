@@ -35,6 +35,13 @@ class Dataset:
     def number_fields(self) -> list[str]:
         return [self.timestamp, *self.longs, *self.numbers]
 
+    @property
+    def types(self) -> dict[str, str]:
+        """Spark types of the table's columns, for files that hold none."""
+        known = dict.fromkeys(("date", "maturity"), "date") | dict.fromkeys((self.timestamp, *self.longs), "bigint")
+        known |= dict.fromkeys(self.numbers, "double")
+        return {c: known.get(c, "string") for c in self.columns}
+
     @property
     def text_fields(self) -> list[str]:
         return ["datetime", *self.texts]
@@ -95,12 +102,14 @@ def _typed(lines: DataFrame, dataset: Dataset) -> DataFrame:
     else:
         reason = F.when(F.col("exchange").isNull(), "funding file name holds no asset")
     seconds = F.col(dataset.timestamp)
+    problem = F.col("problem") if "problem" in lines.columns else F.lit(None).cast("string")
     return (
         lines.withColumn(dataset.timestamp, epoch_seconds(seconds))
         .withColumns({c: F.col(c).try_cast("long") for c in dataset.longs})
         .withColumn(
             "reject_reason",
-            F.when(F.col(BAD_LINE).isNotNull(), "line is no JSON object")
+            F.when(problem.isNotNull(), F.concat(F.lit("archive is unreadable: "), problem))
+            .when(F.col(BAD_LINE).isNotNull(), "line is no JSON object")
             .when(seconds.isNull(), "timestamp is missing or invalid")
             .otherwise(reason),
         )
@@ -108,6 +117,11 @@ def _typed(lines: DataFrame, dataset: Dataset) -> DataFrame:
     )
 
 
+def checked(lines: DataFrame, dataset: Dataset) -> DataFrame:
+    """All lines with the table's columns, ``reject_reason`` (NULL for a good line) and the bad ``line``."""
+    return _typed(lines, dataset).select(*dataset.columns, "reject_reason", F.col(BAD_LINE).alias("line"))
+
+
 def accepted(lines: DataFrame, dataset: Dataset, strict: bool = False) -> DataFrame:
     reason = F.col("reject_reason")
     keep = reason.isNull()

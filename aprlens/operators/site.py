@@ -165,10 +165,10 @@ def site_summary(
 ) -> DataFrame:
     """Statistics of every market over all its days.
 
-    ``latest`` is a one-row table with ``sourceDateMax``; a caller that knows a cheaper way than a pass over
-    the series hands it in. Only that single row is broadcast.
+    ``latest`` has ``sourceDateMax``; a caller that knows a cheaper way than a pass over the series hands it in.
     """
-    latest = last_date(series) if latest is None else latest
+    # An aggregate has one row whatever the caller handed in, so it is safe to broadcast.
+    latest = (last_date(series) if latest is None else latest).agg(F.max("sourceDateMax").alias("sourceDateMax"))
     last, maturity = F.col("sourceDateMax"), F.col("maturity")
     out = (
         with_market_columns(series_stats(series))

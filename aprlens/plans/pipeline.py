@@ -8,6 +8,7 @@ driver must share.
 from __future__ import annotations
 
 import datetime as dt
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -39,17 +40,32 @@ def transfer_plan(
     return pending_files(wanted, landed), transfer_summary(wanted, landed)
 
 
+class Counts(NamedTuple):
+    accepted: int
+    rejected: int
+
+
 def clean_tables(
     spark: SparkSession, raw_root: str, out: str, strict: bool = False, fmt: str = "parquet"
-) -> dict[str, int]:
-    """Write the four clean tables; returns how many rows each has, counted while they are written."""
-    rows = {}
+) -> dict[str, Counts]:
+    """Write the four clean tables; returns how many lines of each were accepted and rejected, both counted in the
+    pass that writes the table. Where lines were rejected, a second pass writes them with their reason to
+    ``<table>_rejected``."""
+    counts = {}
     for name, dataset in CLEAN_TABLES.items():
         seen = Observation(name)
-        table = clean.accepted(clean.read_lines(spark, raw_root, dataset), dataset, strict)
-        write_table(table.observe(seen, F.count(F.lit(1)).alias("rows")), f"{out}/{name}", list(dataset.columns), fmt)
-        rows[name] = seen.get["rows"]
-    return rows
+        lines = clean.read_lines(spark, raw_root, dataset)
+        good = F.col("reject_reason").isNull()
+        if strict:
+            table = clean.accepted(lines, dataset, strict).withColumn("reject_reason", F.lit(None).cast("string"))
+        else:
+            table = clean.checked(lines, dataset)
+        table = table.observe(seen, F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"))
+        write_table(table.where(good), f"{out}/{name}", list(dataset.columns), fmt)
+        counts[name] = Counts(seen.get["accepted"], seen.get["rejected"])
+        if counts[name].rejected:
+            write_table(clean.rejected(lines, dataset), f"{out}/{name}_rejected")
+    return counts
 
 
 def rejected_lines(spark: SparkSession, raw_root: str) -> DataFrame:
@@ -67,8 +83,7 @@ def daily_tables(
     """Write the three daily tables and the comparison."""
 
     def stored(name: str) -> DataFrame:
-        fields = list(CLEAN_TABLES[name].columns) if name in CLEAN_TABLES else None
-        return read_table(spark, f"{out}/{name}", fmt, fields)
+        return read_table(spark, f"{out}/{name}", fmt, CLEAN_TABLES[name].types)
 
     write_table(daily.market_daily(stored("market_data")), f"{out}/market_daily_apr")
     write_table(daily.underlying_daily(stored("underlying_apr")), f"{out}/underlying_daily_apr")
@@ -93,7 +108,7 @@ def site_tables(spark: SparkSession, out: str, fmt: str = "parquet", matured_onl
     comparison = read_table(spark, f"{out}/apr_comparison_daily")
     settled = read_table(spark, f"{out}/settlement_daily_apr")
     funding = read_table(spark, f"{out}/underlying_daily_apr")
-    ohlcv = read_table(spark, f"{out}/ohlcv_1d", fmt, list(clean.OHLCV_1D.columns))
+    ohlcv = read_table(spark, f"{out}/ohlcv_1d", fmt, clean.OHLCV_1D.types)
 
     write_table(site.compact_series(site.with_settlement_samples(comparison, settled)), f"{out}/site_series")
     write_table(site.candle_series(ohlcv), f"{out}/site_candles")
@@ -112,8 +127,8 @@ def site_tables(spark: SparkSession, out: str, fmt: str = "parquet", matured_onl
 
 def run(
     spark: SparkSession, raw_root: str, out: str, as_of: Column | dt.date | str | None = None, strict: bool = False
-) -> dict[str, int]:
-    """All steps; returns the row counts of the clean tables."""
+) -> dict[str, Counts]:
+    """All steps; returns the counts of accepted and rejected lines."""
     rows = clean_tables(spark, raw_root, out, strict)
     daily_tables(spark, out, as_of)
     dashboard_tables(spark, out)

@@ -6,8 +6,9 @@ only inflates: it hands blocks of whole lines back to Spark, which splits, check
 
 from __future__ import annotations
 
-import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +20,8 @@ from ..functions.numeric import permissive_double
 ARCHIVE_GLOB = "*.ndjson.zip"
 ARCHIVE_SUFFIX = ".ndjson.zip"
 LISTING_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-BLOCK_SCHEMA = pa.schema([("path", pa.string()), ("block", pa.binary())])
+BLOCK_SCHEMA = pa.schema([("path", pa.string()), ("block", pa.binary()), ("problem", pa.string())])
 BLOCK_BYTES = 1 << 20
-INLINE_BYTES = 128 << 20
 BAD_LINE = "_bad_line"
 
 
@@ -47,50 +47,47 @@ def _member_blocks(handle) -> Iterator[bytes]:
                     yield block + lines.readline()
 
 
-def _as_batch(path: str, block: bytes) -> pa.RecordBatch:
-    return pa.record_batch([[path], [block]], schema=BLOCK_SCHEMA)
+def _as_batch(path: str, block: bytes | None, problem: str | None = None) -> pa.RecordBatch:
+    return pa.record_batch([[path], [block], [problem]], schema=BLOCK_SCHEMA)
 
 
 def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives held as bytes."""
+    """Blocks of lines; an archive that cannot be read to its end yields a row with the ``problem`` last."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            for block in _member_blocks(pa.BufferReader(content.as_buffer())):
-                yield _as_batch(path.as_py(), block)
+            try:
+                for block in _member_blocks(pa.BufferReader(content.as_buffer())):
+                    yield _as_batch(path.as_py(), block)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, struct.error) as error:
+                yield _as_batch(path.as_py(), None, f"{type(error).__name__}: {error}")
 
 
-def inflate_by_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives too large to hold: opened where they lie and read forward."""
-    from pyarrow import fs
+def scan_blocks(files: DataFrame) -> DataFrame:
+    """``path, block, problem`` of the listed archives.
 
-    for batch in batches:
-        for path in batch["path"].to_pylist():
-            uri = path if "://" in path else path.replace("file:", "file://", 1)
-            system, local = fs.FileSystem.from_uri(uri)
-            with system.open_input_file(local) as handle:
-                for block in _member_blocks(handle):
-                    yield _as_batch(path, block)
+    Spark itself reads the files, so every store and path it is configured for works, and all sizes alike up to
+    the 2 GiB that one binary value holds; beyond that Spark fails the job (``spark.sql.sources.binaryFile.maxLength``).
+    """
+    return files.select("path", "content").mapInArrow(inflate, "path string, block binary, problem string")
 
 
-def scan_blocks(files: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
-    """``path, block`` of the listed archives, however large each is."""
-    schema = "path string, block binary"
-    small = files.where(F.col("length") <= inline_bytes).select("path", "content").mapInArrow(inflate, schema)
-    large = files.where(F.col("length") > inline_bytes).select("path").mapInArrow(inflate_by_path, schema)
-    return small.unionByName(large)
+def below(path: Column, root: str, spark: SparkSession) -> Column:
+    """The part of a listed file's path below ``root``, which is cut off once, at the front."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath()
+    start = whole.rstrip("/") + "/"
+    local = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(local.startswith(start), F.substring(local, len(start) + 1, 1 << 30)).otherwise(local)
 
 
-def relative_path(path: Column, prefix: str) -> Column:
-    """The part of a path from its last ``prefix`` directory on."""
-    return F.concat(F.lit(prefix + "/"), F.substring_index(path, f"/{prefix}/", -1))
+def scan_archives(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """``source_path, block, problem`` of every archive below ``root/prefix``."""
+    files = list_files(spark, f"{root.rstrip('/')}/{prefix}")
+    return placed(scan_blocks(files), spark, root)
 
 
-def scan_archives(
-    spark: SparkSession, root: str, prefix: str, inline_bytes: int = INLINE_BYTES
-) -> DataFrame:
-    """``source_path, block`` of every archive below ``root/prefix``."""
-    files = list_files(spark, f"{root.rstrip('/')}/{prefix}")
-    return scan_blocks(files, inline_bytes).select(relative_path(F.col("path"), prefix).alias("source_path"), "block")
+def placed(blocks: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    return blocks.select(below(F.col("path"), root, spark).alias("source_path"), "block", "problem")
 
 
 def _once(value: Column) -> Column:
@@ -119,8 +116,11 @@ def parse_lines(blocks: DataFrame, numbers: list[str], texts: list[str]) -> Data
     unquote = lambda text: F.regexp_replace(text, '^"(-?[A-Za-z]+)"$', "$1")
     parsed = F.transform(F.array(*[plain[n] for n in numbers]), lambda text: permissive_double(unquote(text)))
     well_formed = F.col("line").rlike(r"^\s*\{") & F.is_valid_utf8("line")
+    lines = F.split(F.col("block").cast("string"), "\n")
+    if "problem" in carried:  # an unreadable archive is one bad line
+        lines = F.when(F.col("problem").isNotNull(), F.array(F.lit("(archive)"))).otherwise(lines)
     return (
-        blocks.select(*carried, F.explode(F.split(F.col("block").cast("string"), "\n")).alias("line"))
+        blocks.select(*carried, F.explode(lines).alias("line"))
         .where(F.col("line").rlike(r"\S"))
         .select(*carried, "line", _once(record("double")).alias("typed"))
         .select(*carried, "line", "typed", _once(F.when(~smooth, record("string"))).alias("plain"))

@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .archives import list_files
+from .archives import below, list_files
 
 MANIFEST_SCHEMA = "path string, size long"
 
@@ -44,8 +44,7 @@ def select_files(
 
 def landed_files(spark: SparkSession, root: str) -> DataFrame:
     """Path below ``root`` and size of every file there; reads the listing, not the files."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.substring_index(F.col("path"), base + "/", -1)
+    relative = below(F.col("path"), root, spark)
     return list_files(spark, root, "*").select(relative.alias("path"), F.col("length").alias("size"))
 
 

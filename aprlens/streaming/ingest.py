@@ -6,24 +6,27 @@ stops. Decoding, parsing and typing are those of the batch job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import Dataset, accepted, lines_of
-from ..sources.archives import ARCHIVE_GLOB, LISTING_SCHEMA, relative_path, scan_blocks
+from ..sources.archives import ARCHIVE_GLOB, LISTING_SCHEMA, placed, scan_blocks
 
 
 def new_archives(spark: SparkSession, root: str, dataset: Dataset) -> DataFrame:
-    """``source_path, block`` of archives as they appear below the dataset's folder."""
+    """``source_path, block, problem`` of archives as they appear below the dataset's folder, which is made if it
+    is absent: there is nothing in it yet."""
+    folder = f"{root.rstrip('/')}/{dataset.prefix}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     files = (
         spark.readStream.format("binaryFile")
         .schema(LISTING_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", ARCHIVE_GLOB)
-        .load(f"{root.rstrip('/')}/{dataset.prefix}")
+        .load(folder)
     )
-    blocks = scan_blocks(files)
-    return blocks.select(relative_path(F.col("path"), dataset.prefix).alias("source_path"), "block")
+    return placed(scan_blocks(files), spark, root)
 
 
 def append_new(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import sys
 import zipfile
 from pathlib import Path
@@ -15,7 +16,7 @@ from aprlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -76,10 +76,48 @@ def test_market_data_lines(spark, raw, day):
         clean.clean_market_data(lines, strict=True).collect()
 
 
-def test_large_archives_are_read_where_they_lie(spark, raw):
-    inline = archives.scan_archives(spark, raw, "market-data")
-    by_path = archives.scan_archives(spark, raw, "market-data", inline_bytes=0)
-    assert sorted(rows_of(inline)) == sorted(rows_of(by_path)) and inline.count() == 5
+def test_odd_paths_and_nested_prefixes(spark, tmp_path):
+    """Blanks, %, # in a path, and a folder that repeats the prefix and the root's name."""
+    root = tmp_path / "my raw"
+    name = "market-data/a b%20#c/market-data/my raw/x.ndjson.zip"
+    write_archive(root / name, {"m": [{"timestamp": DAY1}]})
+    for given in (str(root), f"{root}/"):
+        assert rows_of(archives.scan_archives(spark, given, "market-data"), "source_path") == [(name,)]
+        assert rows_of(manifest.landed_files(spark, given), "path") == [(name,)]
+
+
+def test_unreadable_archive_is_one_reject(spark, tmp_path):
+    folder = tmp_path / "settlement" / MARKET
+    write_archive(folder / "good.ndjson.zip", {"m": [{"timestamp": DAY1}]})
+    (folder / "bad.ndjson.zip").write_bytes(b"PK no archive")
+    lines = clean.read_lines(spark, str(tmp_path), clean.SETTLEMENT)
+    assert clean.clean_settlement(lines).count() == 1
+    (row,) = clean.rejected(lines, clean.SETTLEMENT).collect()
+    assert row.source_path.endswith("bad.ndjson.zip") and row.reject_reason.startswith("archive is unreadable")
+    with pytest.raises(Exception, match="unreadable"):
+        clean.clean_settlement(lines, strict=True).collect()
+
+
+def test_rejects_are_counted_and_kept(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    counts = pipeline.clean_tables(spark, raw, out)
+    for name, dataset in pipeline.CLEAN_TABLES.items():
+        lines = clean.read_lines(spark, raw, dataset).count()
+        assert sum(counts[name]) == lines and tables.read_table(spark, f"{out}/{name}").count() == counts[name].accepted
+        if counts[name].rejected:
+            assert tables.read_table(spark, f"{out}/{name}_rejected").count() == counts[name].rejected
+
+
+def test_csv_jobs_equal_parquet_jobs(spark, raw, tmp_path):
+    found = {}
+    for fmt in ("parquet", "csv"):
+        out = str(tmp_path / fmt)
+        pipeline.clean_tables(spark, raw, out, fmt=fmt)
+        pipeline.daily_tables(spark, out, "2025-06-30", fmt)
+        pipeline.site_tables(spark, out, fmt)
+        read = [tables.read_table(spark, f"{out}/{t}") for t in ("market_daily_apr", "apr_comparison_daily", "site_summary", "site_candles")]
+        found[fmt] = [(t.schema, sorted(map(str, t.collect()))) for t in read]
+    assert found["csv"] == found["parquet"]
 
 
 def test_blocks_end_with_whole_lines(spark, tmp_path, monkeypatch):
@@ -130,7 +168,12 @@ def test_manifest(spark, raw, tmp_path):
 
 def test_whole_job(spark, raw, tmp_path, day):
     out = str(tmp_path / "out")
-    assert pipeline.run(spark, raw, out, "2025-06-30") == {"market_data": 5, "underlying_apr": 2, "settlement": 1, "ohlcv_1d": 1}
+    assert pipeline.run(spark, raw, out, "2025-06-30") == {
+        "market_data": (5, 5),
+        "underlying_apr": (2, 1),
+        "settlement": (1, 0),
+        "ohlcv_1d": (1, 0),
+    }
     comparison = tables.read_table(spark, f"{out}/apr_comparison_daily").where(F.col("market") == MARKET)
     assert sorted(rows_of(comparison, "date", "samples", "impliedApr", "realizedForwardApr", "forwardDaysUsed")) == [
         (day("2025-01-01"), 3, pytest.approx(0.2), pytest.approx(0.06), 2),
@@ -148,6 +191,11 @@ def test_clean_counts_include_empty_tables(spark):
     assert sorted(rows_of(clean.table_row_counts({"a": empty, "b": spark.range(3)}))) == [("a", 0), ("b", 3)]
 
 
+def test_ingest_of_an_absent_folder(spark, tmp_path):
+    table = str(tmp_path / "t")
+    ingest.append_new(spark, str(tmp_path / "raw"), clean.SETTLEMENT, table, str(tmp_path / "c")).awaitTermination()
+
+
 def test_incremental_ingest_reads_new_archives_once(spark, raw, tmp_path):
     table, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
 

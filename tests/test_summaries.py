@@ -154,6 +154,16 @@ def test_nearest_maturity_is_stitched(spark, day):
     assert sorted(rows_of(stitched, "exchange", "implied")) == [("X", 0.4), ("Y", pytest.approx(0.2)), ("Z", 1.0)]
     wide = cross.cross_exchange_wide(stitched, "BTC", ["Z", "Y", "X"])
     assert wide.columns == ["d", "X", "Y", "Z"] and rows_of(wide) == [(d, 0.4, pytest.approx(0.2), None)]
+    with pytest.raises(Exception, match="not in the list: Y"):
+        cross.cross_exchange_wide(stitched, "BTC", ["X"]).collect()
+    maps = {r.asset: r.implied for r in cross.cross_exchange_map(stitched).collect()}
+    assert maps == {"BTC": {"X": 0.4, "Y": pytest.approx(0.2)}, "ETH": {"Z": 1.0}}
+
+
+def test_exchanges_come_from_the_markets(spark):
+    names = ["1-BINANCE-BTCUSDT-31JAN2025", "2-FOO_dex-BTCUSDT-31JAN2025", "3-OKX-ETHUSDT-31JAN2025", "odd", "4-FOO_dex-BTC-28FEB2025"]
+    markets = spark.createDataFrame([(n,) for n in names], "market string")
+    assert cross.exchanges_of(markets, "BTC") == ["Binance", "Foo_Dex"]
 
 
 def test_domain_and_histogram(spark):
@@ -164,6 +174,8 @@ def test_domain_and_histogram(spark):
     assert len(counts) == 18 and sum(r.days for r in counts) == 3
     by_key = charts.histogram(df, F.col("x"), ["k"]).groupBy("k").agg(F.count("bucket"), F.sum("days"))
     assert sorted(rows_of(by_key)) == [("a", 18, 2), ("b", 18, 1), ("c", 18, 0)]
+    nulls = charts.histogram(df.withColumn("k", F.nullif("k", F.lit("a"))), F.col("x"), ["k"]).groupBy("k").agg(F.sum("days"))
+    assert dict(rows_of(nulls)) == {None: 2, "b": 1, "c": 0}
 
 
 def test_candles(spark, day):
