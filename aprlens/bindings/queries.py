@@ -12,7 +12,7 @@ from ..functions import numeric as nm
 from ..functions import timing as tm
 from ..operators import charts, clean, compare, cross, daily, dashboard, forward, site, views
 from ..sources import manifest as mf
-from .adapters import AS_OF, candles_in, funding, settlements, snapshots, symbol, table, venue, KEYS
+from .adapters import AS_OF, KEYS, candles_in, funding, settlements, snapshots, symbol, table, venue
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -188,13 +188,17 @@ def table_row_counts(spark, sf):
 # --- daily tables and the comparison -------------------------------------------------------------------------
 
 
-def _comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.comparison_with_samples(
-        daily.market_daily(snapshots(spark, sf)),
-        daily.underlying_daily(funding(spark, sf)),
-        daily.settlement_rates(settlements(spark, sf)),
-        AS_OF,
-    )
+def _comparison(spark: SparkSession, sf: str, kept: DataFrame | None = None) -> DataFrame:
+    """The comparison, of the markets in ``kept`` only where given: lines of others are not even aggregated."""
+    if kept is None:
+        lines, settled = snapshots(spark, sf), settlements(spark, sf)
+    else:
+        lines = snapshots(spark, sf).join(kept, "market", "left_semi")
+        settled = settlements(spark, sf).join(kept, "market", "left_semi")
+    days = (
+        daily.market_daily(lines), daily.underlying_daily(funding(spark, sf)), daily.settlement_rates(settled)
+    )
+    return compare.comparison_with_samples(*(days if kept is None else compare.restricted(*days, kept)), AS_OF)
 
 
 @query
@@ -240,7 +244,8 @@ def forward_prefix(spark, sf):
 @query
 def forward_average(spark, sf):
     days = mk.with_market_columns(snapshots(spark, sf).select("market", "date").distinct())
-    out = forward.with_forward_average(days, daily.underlying_daily(funding(spark, sf)), AS_OF)
+    rates = daily.underlying_daily(funding(spark, sf))
+    out = forward.with_forward_average(compare.with_daily_realized(days, rates), rates, AS_OF)
     return out.select("market", "date", "forwardEnd", "realizedDailyApr", "realizedForwardApr", "forwardDaysUsed")
 
 
@@ -306,8 +311,8 @@ def market_series(spark, sf):
 # --- site ----------------------------------------------------------------------------------------------------
 
 
-def _series(spark: SparkSession, sf: str) -> DataFrame:
-    return site.compact_series(_comparison(spark, sf))
+def _series(spark: SparkSession, sf: str, kept: DataFrame | None = None) -> DataFrame:
+    return site.compact_series(_comparison(spark, sf, kept))
 
 
 def _candles(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,8 +410,10 @@ def payload_candles(spark, sf):
 # --- views ---------------------------------------------------------------------------------------------------
 
 
-def _board(spark: SparkSession, sf: str) -> DataFrame:
-    return views.market_board(_series(spark, sf))
+def _board(spark: SparkSession, sf: str, **filters) -> DataFrame:
+    """The board; with filters on what a market's name says, of those markets only."""
+    kept = views.kept_markets(snapshots(spark, sf), **filters) if filters else None
+    return views.market_board(_series(spark, sf, kept))
 
 
 @query
@@ -432,12 +439,12 @@ def largest_gap(spark, sf):
 
 @query
 def filtered_markets(spark, sf):
-    return views.rank_by_gap(views.filter_markets(_board(spark, sf), exchange="Binance", asset="BTC"))
+    return views.rank_by_gap(_board(spark, sf, exchange="Binance", asset="BTC"))
 
 
 @query
 def filtered_maturity(spark, sf):
-    return views.rank_by_gap(views.filter_markets(_board(spark, sf), maturity="1998-03-31"))
+    return views.rank_by_gap(_board(spark, sf, maturity="1998-03-31"))
 
 
 @query
@@ -447,7 +454,7 @@ def lens_paid(spark, sf):
 
 @query
 def lens_received(spark, sf):
-    return views.rank_by_gap(views.filter_markets(_board(spark, sf), asset="ETH", lens="received"))
+    return views.rank_by_gap(views.filter_markets(_board(spark, sf, asset="ETH"), lens="received"))
 
 
 @query
@@ -457,14 +464,14 @@ def board_kpis(spark, sf):
 
 @query
 def filtered_kpis(spark, sf):
-    return views.board_kpis(views.filter_markets(_board(spark, sf), exchange="OKX"))
+    return views.board_kpis(_board(spark, sf, exchange="OKX"))
 
 
 @query
 def drilldown(spark, sf):
     """No market of that name is shown, so the first one shown is drilled into."""
     chosen = views.select_market(_board(spark, sf), wanted="no-such-market", exchange="Bybit", lens="received")
-    return views.drilldown(_series(spark, sf), chosen)
+    return _series(spark, sf, chosen)
 
 
 @query
@@ -494,7 +501,8 @@ def cross_exchange(spark, sf):
 @query
 def cross_exchange_wide(spark, sf):
     exchanges = cross.exchanges_of(snapshots(spark, sf), "BTC")
-    return cross.cross_exchange_wide(cross.cross_exchange(_series(spark, sf)), "BTC", exchanges)
+    kept = views.kept_markets(snapshots(spark, sf), asset="BTC")
+    return cross.cross_exchange_wide(cross.cross_exchange(_series(spark, sf, kept)), "BTC", exchanges)
 
 
 # --- charts --------------------------------------------------------------------------------------------------

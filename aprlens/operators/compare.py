@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.markets import with_market_columns
 from .daily import MARKET_KEYS
 from .forward import PAIR, with_forward_average
 
@@ -48,7 +49,8 @@ def comparison_with_samples(
     as_of: Column | dt.date | str | None = None,
 ) -> DataFrame:
     """The comparison plus ``settlementSamples``, for jobs that go on to the per-market series."""
-    rows = with_forward_average(with_settlement(market_daily, settlement_daily), underlying_daily, as_of)
+    rows = with_daily_realized(with_settlement(market_daily, settlement_daily), underlying_daily)
+    rows = with_forward_average(rows, underlying_daily, as_of)
     derived = {
         "impliedApr": "coalesce(midApr, markApr)",
         "dailyBasisApr": "coalesce(midApr, markApr) - realizedDailyApr",
@@ -67,3 +69,17 @@ def apr_comparison(
     """One row per market and day; no market day is lost for want of a rate or a settlement."""
     rows = comparison_with_samples(market_daily, underlying_daily, settlement_daily, as_of)
     return rows.select(*COMPARISON_COLUMNS)
+
+
+def restricted(
+    market_daily: DataFrame, underlying_daily: DataFrame, settlement_daily: DataFrame, kept: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three daily tables for the markets in ``kept`` (column ``market``) and the pairs these refer to, to
+    compare just them. Spark broadcasts the names where they are few."""
+    names = kept.select("market").distinct()
+    pairs = with_market_columns(names).select(*PAIR).distinct()
+    return (
+        market_daily.join(names, "market", "left_semi"),
+        underlying_daily.join(pairs, PAIR, "left_semi"),
+        settlement_daily.join(names, "market", "left_semi"),
+    )

@@ -36,16 +36,15 @@ def forward_prefix(underlying_daily: DataFrame) -> DataFrame:
 
 
 def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
-    """``sums``, ``days`` and ``rates`` of every pair and month, from its first rate to its last or ``through``.
+    """``sums`` and ``days`` of every pair and month, from its first rate to its last or ``through``.
 
-    Slot 0 of the first two is the total before the month, slot n the total after its n-th day; ``rates``
-    has the rate of the n-th day itself, NULL on a day without.
+    Slot 0 is the total before the month, slot n the total after its n-th day.
     """
     by_date = Window.partitionBy(*PAIR).orderBy("date")
     entry = F.expr(
         f"""struct(dayofmonth(date) AS day,
         IF(trunc(nextDate, 'month') = trunc(date, 'month'), datediff(nextDate, date), {DAY_SLOTS} - dayofmonth(date)) AS span,
-        realizedApr, rateSum, rateDays, rateDays - 1 AS daysBefore, sumBefore, nextDate)"""
+        rateSum, rateDays, rateDays - 1 AS daysBefore, sumBefore, nextDate)"""
     )
     months = (
         forward_prefix(underlying_daily)
@@ -61,15 +60,12 @@ def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
         filled = slots(f"entries[0].{before}", f"array_repeat(e.{field}, e.span)")
         return f"IF(month = ownMonth, {filled}, array_repeat(element_at(entries, -1).{field}, {DAY_SLOTS}))"
 
-    missing = "CAST(NULL AS DOUBLE)"
-    rates = slots(missing, f"concat(array(e.realizedApr), array_repeat({missing}, e.span - 1))")
     until = "coalesce(add_months(trunc(element_at(entries, -1).nextDate, 'month'), -1), greatest(ownMonth, lastMonth))"
     return months.selectExpr("*", f"explode(sequence(ownMonth, {until}, INTERVAL 1 MONTH)) AS month").selectExpr(
         *PAIR,
         "month",
         f"{page('rateSum', 'sumBefore')} AS sums",
         f"{page('rateDays', 'daysBefore')} AS days",
-        f"IF(month = ownMonth, {rates}, NULL) AS rates",
     )
 
 
@@ -82,10 +78,11 @@ def _look_up(rows: DataFrame, pages: DataFrame, day: str, *values: str) -> DataF
 def with_forward_average(
     rows: DataFrame, underlying_daily: DataFrame, as_of: Column | dt.date | str | None = None
 ) -> DataFrame:
-    """Add to rows of (exchange, asset, date, maturity) the rate of the day and the mean rate until maturity.
+    """Add to rows of (exchange, asset, date, maturity) the mean rate from that day until maturity.
 
-    ``realizedDailyApr`` is the day's own rate, ``realizedForwardApr`` and ``forwardDaysUsed`` cover the days
-    with a rate in [date, min(maturity, as_of)]: NULL and 0 where there is none or no maturity.
+    ``realizedForwardApr`` and ``forwardDaysUsed`` cover the days with a rate in [date, min(maturity, as_of)]:
+    NULL and 0 where there is none or no maturity. Both look-ups ask for the same fields of the pages, so that
+    Spark builds and sends them once.
     """
     as_of = as_date(as_of)
     pages = rate_pages(underlying_daily, as_of)
@@ -95,7 +92,6 @@ def with_forward_average(
         rows,
         pages,
         "date",
-        "get(rates, dayofmonth(date)) AS realizedDailyApr",
         "get(sums, dayofmonth(date) - 1) AS sumBefore",
         "get(days, dayofmonth(date) - 1) AS daysBefore",
     )
@@ -108,7 +104,6 @@ def with_forward_average(
     )
     return rows.selectExpr(
         *kept,
-        "realizedDailyApr",
         "coalesce(used, 0) AS forwardDaysUsed",
         "IF(used > 0, (sumThrough - coalesce(sumBefore, 0)) / used, NULL) AS realizedForwardApr",
     )

@@ -57,6 +57,13 @@ def filter_markets(board: DataFrame, **filters) -> DataFrame:
     return board.where(shown(**filters))
 
 
+def kept_markets(names: DataFrame, exchange: str = ALL, asset: str = ALL, maturity: dt.date | str = ALL) -> DataFrame:
+    """The markets among ``names`` that the filters keep, from their names alone: what a lens asks for needs the
+    gaps, the rest can be restricted before anything is compared."""
+    named = with_market_columns(names.select("market").distinct())
+    return named.where(shown(exchange, asset, maturity)).select("market")
+
+
 def by_gap() -> list[Column]:
     return [gap_size().desc(), F.col("market").asc()]
 

@@ -49,7 +49,7 @@ def test_underlying_daily_counts_numbers_only(spark, day):
 def intervals(spark, rates, rows, as_of="2025-12-31"):
     under = spark.createDataFrame(rates, "exchange string, asset string, date date, realizedApr double")
     asked = spark.createDataFrame(rows, "id int, exchange string, asset string, date date, maturity date")
-    out = forward.with_forward_average(asked, under, as_of)
+    out = compare.with_daily_realized(forward.with_forward_average(asked, under, as_of), under)
     return {r.id: (r.realizedForwardApr, r.forwardDaysUsed, r.realizedDailyApr) for r in out.collect()}
 
 
@@ -134,3 +134,17 @@ def test_flagship_plan_has_no_range_join_and_no_python(spark, day):
         for node in ("NestedLoop", "Cartesian", "Python", "MapIn"):
             assert node not in plan
         assert "l_extendedprice" not in plan and "l_quantity" not in plan
+
+
+def test_pages_are_built_once(spark):
+    """In the plan that ran, the second look-up reuses what the first one sent."""
+    keys = "market string, market_id string, exchange string, asset string, symbol string, maturity date, date date"
+    values = "samples long, midApr double, markApr double, ammImpliedApr double, latestSettlementApr double, notionalOI double"
+    d = dt.date(2025, 1, 1)
+    market = spark.createDataFrame([("m", "1", "X", "BTC", "S", dt.date(2025, 3, 1), d, 1, 0.1, 0.1, 0.1, 0.1, 1.0)], f"{keys}, {values}")
+    under = spark.createDataFrame([("X", "BTC", d, 1, 0.2)], "exchange string, asset string, date date, samples long, realizedApr double")
+    settled = spark.createDataFrame([("m", d, 0.1, 1)], "market string, date date, settlementApr double, samples long")
+    out = compare.comparison_with_samples(market, under, settled, "2025-06-30")
+    assert out.collect()[0].realizedForwardApr == pytest.approx(0.2)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Generate explode(sequence(") == 1 and "ReusedExchange" in plan
