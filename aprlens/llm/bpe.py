@@ -7,6 +7,7 @@ line break. Texts with runs of white space go to the library whole.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import cache
 
@@ -16,6 +17,8 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUNS = regex.compile(r"\s\s|^\s|\s$")
 _WORDS = regex.compile(PATTERN)
+# The same for ASCII text, where the standard module is faster.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _FAMILIAR = "\u0530"  # letters below are classed alike by the library and by ``regex``; others go to the library
 
 
@@ -46,21 +49,29 @@ class Bpe:
     def _ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _plain_word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():  # shown as it is, but for the blank
+            shown = word.replace(" ", self.letters[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.words[word] = found
+            found = self.words[word] = self._plain_word(word)
         return found
 
     def _learn(self, table: dict[str, bytes], units: set[str], prefix: str) -> None:
         for unit in units:
             text = prefix + unit
-            if unit and max(unit) < _FAMILIAR:
-                table[unit] = b"".join(map(self._word, _WORDS.findall(text)))
+            if not unit.isascii() and max(unit) >= _FAMILIAR:
+                table[unit] = self._ids(text)
+            elif unit.isalpha():  # one word
+                table[unit] = self._plain_word(text)
             else:
-                table[unit] = self._ids(text) if text else b""
+                pattern = _ASCII_WORDS if unit.isascii() else _WORDS
+                table[unit] = b"".join(map(self._word, pattern.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for a null or empty one."""
