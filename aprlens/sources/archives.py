@@ -90,11 +90,6 @@ def placed(blocks: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     return blocks.select(below(F.col("path"), root, spark).alias("source_path"), "block", "problem")
 
 
-def _once(value: Column) -> Column:
-    """``value`` by way of a generator: Spark does not copy it into each filter and column that uses it."""
-    return F.explode(F.array(value))
-
-
 def parse_lines(blocks: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
     """One row per non-blank line: ``numbers`` as doubles, ``texts`` as they are, and in ``BAD_LINE`` a line
     that is no JSON object.
@@ -106,35 +101,25 @@ def parse_lines(blocks: DataFrame, numbers: list[str], texts: list[str]) -> Data
     carried = [c for c in blocks.columns if c != "block"]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
 
-    def record(number: str) -> Column:
+    def record(line: Column, number: str) -> Column:
         fields = [f"`{n}` {number}" for n in numbers] + [f"`{t}` string" for t in [*texts, BAD_LINE]]
-        return F.from_json("line", ", ".join(fields), options)
+        return F.from_json(line, ", ".join(fields), options)
 
-    typed, plain = F.col("typed"), F.col("plain")
+    lines = F.filter(F.split(F.col("block").cast("string"), "\n"), lambda line: line.rlike(r"\S"))
+    if "problem" in carried:  # an unreadable archive is one bad line
+        lines = F.when(F.col("problem").isNotNull(), F.array(F.lit("(archive)"))).otherwise(lines)
+    # One generator for lines and records: Spark copies neither into the columns that use them.
+    parsed = F.transform(lines, lambda line: F.struct(line.alias("line"), record(line, "double").alias("typed")))
+    rows = blocks.select(*carried, F.explode(parsed).alias("_r")).select(*carried, "_r.line", "_r.typed")
+    line, typed = F.col("line"), F.col("typed")
     smooth = typed[BAD_LINE].isNull()
+    plain = record(line, "string")  # read for the lines that are not smooth only
     # Read as text, an unquoted NaN or Infinity comes back in quotes.
     unquote = lambda text: F.regexp_replace(text, '^"(-?[A-Za-z]+)"$', "$1")
-    parsed = F.transform(F.array(*[plain[n] for n in numbers]), lambda text: permissive_double(unquote(text)))
-    well_formed = F.col("line").rlike(r"^\s*\{") & F.is_valid_utf8("line")
-    lines = F.split(F.col("block").cast("string"), "\n")
-    if "problem" in carried:  # an unreadable archive is one bad line
-        lines = F.when(F.col("problem").isNotNull(), F.array(F.lit("(archive)"))).otherwise(lines)
-    return (
-        blocks.select(*carried, F.explode(lines).alias("line"))
-        .where(F.col("line").rlike(r"\S"))
-        .select(*carried, "line", _once(record("double")).alias("typed"))
-        .select(*carried, "line", "typed", _once(F.when(~smooth, record("string"))).alias("plain"))
-        .select(
-            *carried,
-            "line",
-            "typed",
-            "plain",
-            _once(F.when(smooth, F.array(*[typed[n] for n in numbers])).otherwise(parsed)).alias("values"),
-        )
-        .select(
-            *carried,
-            *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(numbers)],
-            *[typed[t].alias(t) for t in texts],
-            F.when(well_formed, plain[BAD_LINE]).otherwise(F.col("line")).alias(BAD_LINE),
-        )
+    well_formed = line.rlike(r"^\s*\{") & F.is_valid_utf8(line)
+    return rows.select(
+        *carried,
+        *[F.when(smooth, typed[n]).otherwise(permissive_double(unquote(plain[n]))).alias(n) for n in numbers],
+        *[typed[t].alias(t) for t in texts],
+        F.when(~well_formed, line).when(~smooth, plain[BAD_LINE]).alias(BAD_LINE),
     )
