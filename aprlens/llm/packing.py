@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder
 from .shared import kept, numbered
-from .words import chunks
+from .words import text_parts
 
 MAX_LENGTH, BUCKETS, BUDGET = 2048, 12, 65_536
 
@@ -50,10 +50,9 @@ def _lengths(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             n = []
-            for cut in chunks([len(t or "") for t in texts]):
-                n += [len(x) // 4 + 1 for x in encode(texts[cut])]
+            for _, texts in text_parts(batch.column("text")):
+                n += [len(x) // 4 + 1 for x in encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
     return run

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import chunks, mixed
+from .words import mixed, text_parts
 
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for a SPACE sign of the text itself, which no piece may match
@@ -246,9 +246,8 @@ def _sampler(model: str, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for cut in chunks([len(t or "") for t in texts], 8 << 20):
-                part = texts[cut]
+            doc_ids = batch.column("doc_id").to_pylist()
+            for cut, part in text_parts(batch.column("text"), 8 << 20):
                 ids, count = m.encode(part, row_keys(doc_ids[cut], seed))
                 stop = np.cumsum(count)
                 own = [ids[e - n : e] for e, n in zip(stop, count, strict=True)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import components, kept, least_roots
-from .words import LOWER, Scan, chunks, mixed
+from .words import LOWER, Scan, mixed, text_parts
 
 WIDTH = 5  # words in a shingle
 BANDS, ROWS = 48, 5  # a pair at 0.75 meets in no band with probability (1 - 0.75 ** 5) ** 48, about 2e-6
@@ -81,11 +81,10 @@ def _batched(emit):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
             other = [n for n in batch.schema.names if n != "_text"]
-            for part in chunks([len(t or "") for t in texts]):
+            for part, texts in text_parts(batch.column("_text")):
                 kept_rows = batch.slice(part.start, part.stop - part.start)
-                extra = emit(shingle_sets(texts[part]))
+                extra = emit(shingle_sets(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*[kept_rows.column(n) for n in other], *extra.values()], [*other, *extra]
                 )

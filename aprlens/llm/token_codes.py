@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .bpe import encoder
 from .files import write_file
 from .shared import kept, scratch
-from .words import chunks
+from .words import text_parts
 
 MAGIC = b"DAC1"
 SPAN = 512  # bits between entries of a rank directory
@@ -121,9 +121,9 @@ def _writer(vocabulary: str, folder: str, file_tokens: int):
 
         encode = encoder(vocabulary).encode
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for cut in chunks([len(t or "") for t in texts]):
-                for doc_id, x in zip(doc_ids[cut], encode(texts[cut]), strict=True):
+            doc_ids = batch.column("doc_id").to_pylist()
+            for cut, texts in text_parts(batch.column("text")):
+                for doc_id, x in zip(doc_ids[cut], encode(texts), strict=True):
                     own = len(x) // 4 + 1
                     if ids and held + own > file_tokens:
                         yield flush()

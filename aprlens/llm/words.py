@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20  # bytes hashed at once; a longer word makes its piece longer
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,13 +88,13 @@ class Scan:
         return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
 
 
-def chunks(sizes: list[int], limit: int = 4 * PIECE) -> Iterator[slice]:
-    """Cuts a batch so that each part holds about ``limit`` bytes, one text at least."""
+def text_parts(column: pa.Array, limit: int = 4 * PIECE) -> Iterator[tuple[slice, list[str | None]]]:
+    """Cuts a column of texts so that each part holds about ``limit`` bytes, one text at least; only a part's texts are
+    Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first = total = 0
-    for i, size in enumerate(sizes):
-        if i > first and total + size > limit:
-            yield slice(first, i)
+    for i, size in enumerate([*sizes, limit + 1]):
+        if i > first and (total + size > limit or i == len(sizes)):
+            yield slice(first, i), column.slice(first, i - first).to_pylist()
             first, total = i, 0
         total += size
-    if first < len(sizes):
-        yield slice(first, len(sizes))
