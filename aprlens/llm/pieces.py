@@ -46,12 +46,13 @@ class Lattice:
 
     def __init__(self, model: PieceModel, segments: list[str]):
         codes = _codes("".join(segments))
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-        ends = np.cumsum(sizes)
-        of = np.repeat(np.arange(len(segments)), sizes)  # segment of each character
+        sizes = np.fromiter(map(len, segments), np.int32, len(segments))
+        ends = np.cumsum(sizes, dtype=np.int32)  # positions in one batch's segments fit 32 bits
+        of = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)  # segment of each character
         sums, down = _prefix(codes)
         found = []
-        at, left = np.arange(len(codes)), ends[of] - np.arange(len(codes))
+        at = np.arange(len(codes), dtype=np.int32)
+        left = ends[of] - at
         for length in range(1, model.longest + 1):
             if length > 1:
                 longer = left >= length
@@ -61,21 +62,23 @@ class Lattice:
             key = mixed((sums[at + length] - sums[at]) * down[at] + np.uint64(length))
             if length == 1:
                 ids = model.find(key)
-                found.append((at, 1, np.where(ids < 0, -1 - codes.astype(np.int64), ids)))
+                found.append((at, 1, np.where(ids < 0, -1 - codes.astype(np.int32), ids)))
                 continue
             maybe = np.flatnonzero(model.present[(key >> np.uint64(44)).view(np.int64)])
             ids = model.find(key[maybe])
             hit = ids >= 0
             found.append((at[maybe[hit]], length, ids[hit]))
         start = np.concatenate([f[0] for f in found])
-        stop = np.concatenate([f[0] + f[1] for f in found])
+        length = np.concatenate([np.full(len(f[0]), f[1], np.int32) for f in found])
         piece = np.concatenate([f[2] for f in found])
-        seg = of[start]
+        del found, at, left, sums, down
         # Segment k has a node before and after each of its characters: its first one is its first character + k.
-        first = ends - sizes + np.arange(len(segments))
-        node, source = stop + seg, start + seg
-        by = np.argsort(node * (model.longest + 1) + (node - source), kind="stable")  # few presorted runs
+        first = ends - sizes + np.arange(len(segments), dtype=np.int32)
+        source = start + of[start]
+        node = source + length
+        by = np.argsort(node.astype(np.int64) * (model.longest + 1) + length, kind="stable")  # few presorted runs
         node, source, piece = node[by], source[by], piece[by]
+        del start, length, by
         weight = SHARPNESS * np.where(piece >= 0, model.scores[np.maximum(piece, 0)], FALLBACK_SCORE)
         head = np.flatnonzero(np.diff(node, prepend=-1))  # first edge of each node that has one
         size = np.diff(np.append(head, len(node)))
@@ -97,16 +100,16 @@ class Lattice:
             upto[k] += upto[k - 1]
         self.limit = np.minimum((upto * 2.0**32).astype(np.uint64), np.uint64(2**32 - 1))
         self.limit[head + size - 1] = 2**32  # above every draw
-        self.begin = np.zeros(len(total), np.int64)
+        self.begin = np.zeros(len(total), np.int32)
         self.begin[node[head]] = head
         self.source, self.piece = source, piece
         self.end = first + sizes
         self.first = first
         # What an edge spells, as ids: one piece, or the bytes of a character.
         spelled = [model.byte_ids(-1 - int(p)) for p in self.piece[self.piece < 0]]
-        self.width = np.ones(len(self.piece), np.int64)
+        self.width = np.ones(len(self.piece), np.int32)
         self.width[self.piece < 0] = [len(s) for s in spelled]
-        self.offset = np.concatenate([[0], np.cumsum(self.width)])[:-1]
+        self.offset = np.cumsum(self.width, dtype=np.int32) - self.width
         self.ids = np.zeros(int(self.width.sum()), np.int32)
         self.ids[self.offset] = np.maximum(self.piece, 0)
         for at, s in zip(self.offset[self.piece < 0], spelled, strict=True):
@@ -128,16 +131,16 @@ class Lattice:
             node[active] = self.source[edge]
             active = active[node[active] > first[active]]
             step += 1
-        count = np.zeros(len(segment), np.int64)
+        count = np.zeros(len(segment), np.int32)
         for at, _ in steps:
             count[at] += 1
-        stop = np.cumsum(count)
-        edges = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
+        stop = np.cumsum(count, dtype=np.int64)
+        edges = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
         for k, (at, edge) in enumerate(steps):
             edges[stop[at] - 1 - k] = edge
         width = self.width[edges]
-        into = np.cumsum(width) - width
-        ids = self.ids[np.repeat(self.offset[edges] - into, width) + np.arange(int(width.sum()))]
+        into = np.cumsum(width, dtype=np.int32) - width
+        ids = self.ids[np.repeat(self.offset[edges] - into, width) + np.arange(int(width.sum()), dtype=np.int32)]
         pieces = np.add.reduceat(width, stop - count) if len(stop) else count
         return ids, pieces
 
@@ -167,13 +170,13 @@ class PieceModel:
             keys.append(mixed(sums[-1:] + np.uint64(len(codes)))[0])
             ids.append(i)
         self._tables = []
-        keys, ids = np.array(keys, np.uint64), np.array(ids, np.int64)
+        keys, ids = np.array(keys, np.uint64), np.array(ids, np.int32)
         self.present = np.zeros(1 << 20, bool)  # a quick first look
         self.present[(keys >> np.uint64(44)).astype(np.int64)] = True
         while len(keys):  # each table takes one key per slot, the next one what is left
             slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             _, taken = np.unique(slot, return_index=True)
-            key, value = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int64)
+            key, value = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
             key[slot[taken]], value[slot[taken]] = keys[taken], ids[taken]
             self._tables.append((key, value))
             rest = np.setdiff1d(np.arange(len(keys)), taken)
@@ -192,7 +195,7 @@ class PieceModel:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each key, -1 where there is none."""
         slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        out = np.full(len(keys), -1, np.int64)
+        out = np.full(len(keys), -1, np.int32)
         for key, value in self._tables:
             out = np.where((out < 0) & (key[slot] == keys), value[slot], out)
         return out
@@ -220,9 +223,9 @@ class PieceModel:
         place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
         seed = mixed(np.repeat(keys, sizes) + mixed(place.astype(np.uint64) + np.uint64(1)))
         number = dict(zip(known, range(len(known)), strict=True)).__getitem__
-        segment = np.fromiter(map(number, parted), np.int64, len(parted))
+        segment = np.fromiter(map(number, parted), np.int32, len(parted))
         ids, count = Lattice(self, [SPACE + p for p in known]).sample(segment, seed)
-        upto = np.concatenate([[0], np.cumsum(count)])
+        upto = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         return ids, upto[begin + sizes] - upto[begin]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -247,7 +250,7 @@ def _sampler(model: str, seed: int, with_ids: bool):
         m = piece_model(model)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for cut, part in text_parts(batch.column("text"), 8 << 20):
+            for cut, part in text_parts(batch.column("text")):
                 ids, count = m.encode(part, row_keys(doc_ids[cut], seed))
                 stop = np.cumsum(count)
                 own = [ids[e - n : e] for e, n in zip(stop, count, strict=True)]
