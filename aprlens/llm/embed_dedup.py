@@ -141,16 +141,22 @@ def range_join(
     heads = heads.select("node", "space", "copies", "vector")
 
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    sizes = sizes.orderBy(F.desc("n"), "space").limit(most_pivots)  # bounded, like all that is collected here
-    counts = {r["space"]: -(-r["n"] // cell) for r in sizes.toLocalIterator()}
-    pivots, left = {}, most_pivots
-    for name, n in counts.items():
-        n = min(n, left)
-        if n < 2:
+    sizes = sizes.orderBy(F.desc("n"), "space").limit(most_pivots // 2)
+    shares, left = [], most_pivots
+    for r in sizes.toLocalIterator():  # largest first; at most most_pivots / 2 rows
+        wanted = min(-(-r["n"] // cell), left)
+        if wanted < 2:
             break
-        left -= n
-        picked = heads.where(F.col("space") == name).orderBy(F.xxhash64("node"), "node").limit(n).select("vector")
-        pivots[name] = _unit(_matrix(pd.Series([bytes(r["vector"]) for r in picked.collect()])))
+        left -= wanted
+        shares.append((r["space"], wanted / r["n"]))
+    pivots: dict[str, list] = {}
+    if shares:
+        share = heads.sparkSession.createDataFrame(shares, "space string, share double")
+        chance = F.pmod(F.xxhash64("node"), F.lit(1 << 24)) / F.lit(1 << 24)
+        picked = heads.join(F.broadcast(share), "space").where(chance < F.col("share"))
+        for r in picked.select("space", "vector").limit(most_pivots).collect():
+            pivots.setdefault(r["space"], []).append(bytes(r["vector"]))
+    pivots = {name: _unit(_matrix(pd.Series(p))) for name, p in pivots.items() if len(p) > 1}
 
     parts = heads.mapInArrow(
         _cells(pivots, radius), "node long, space string, copies long, vector binary, cell int, home boolean"

@@ -250,7 +250,7 @@ def _linked_block(similarity: int):
         for at in range(0, len(common), 8192):
             part = common[at : at + 8192]
             shared += _incidence(x, part) @ _incidence(y, part).T
-        near = (100 + similarity) * shared >= similarity * (nx[:, None] + ny[None, :])
+        near = (100 + similarity) * shared.astype(np.int64) >= similarity * (nx[:, None] + ny[None, :])
         near &= left["of"].to_numpy()[:, None] != right["of"].to_numpy()[None, :]
         i, j = np.nonzero(near)
         a, b = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
@@ -273,7 +273,10 @@ def _incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
 
 def _within(cluster: DataFrame, large: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
     """Links between unlike components of each cluster (id, component), by pairs of blocks of about ``block``."""
-    size = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # A block holds few classes and few shingles, so that long texts get smaller blocks.
+    weights = cluster.join(sets.select("node", F.size("shingles").alias("n")), F.col("id") == F.col("node"))
+    fill = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * 1000))
+    size = weights.groupBy("component").agg(F.ceil(fill).cast("int").alias("blocks"))
     own = large.select("node", "of").distinct().join(cluster, F.col("node") == F.col("id"))
     own = own.join(size, "component").join(sets, "node")
     own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
