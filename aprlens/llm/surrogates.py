@@ -49,6 +49,11 @@ HEX = "0123456789abcdef"
 LAST_ROUND, WIDER = 200, 24  # rounds of drawing again; from WIDER on surrogates grow by two signs, so they never run out
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is stated and computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
@@ -111,6 +116,10 @@ def _script(value: Column) -> Column:
 def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     """The canonical surrogate of a canonical value; ``draw`` counts how often it was drawn again."""
     digest = _hash(F.lit(key), kind, value, draw.cast("string"))
+    return _let(digest, lambda d: _surrogate(kind, value, draw, d, key))
+
+
+def _surrogate(kind: Column, value: Column, draw: Column, digest: Column, key: str) -> Column:
     more = F.when(draw >= WIDER, F.substring(_recast(F.lit("00"), digest), 1, 2)).otherwise(F.lit(""))
     country = F.substring_index(value, " ", 1)
     number = _recast(F.substring_index(value, " ", -1), digest)
@@ -166,7 +175,10 @@ _VALUE = r"^(.*?[=:]\s*[\"']?)(.*)$"
 
 def _entities(match: Column) -> Column:
     """(kind, value) of each entity in a match, canonical: equal for equal entities however they are written."""
-    kind = _kind(match)
+    return _let(_kind(match), lambda kind: _entities_of(match, kind))
+
+
+def _entities_of(match: Column, kind: Column) -> Column:
     one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
     country = F.coalesce(F.nullif(F.regexp_extract(match, r"^\+(\d{1,3})", 1), F.lit("")), F.lit("-"))
     local = _digits(F.regexp_replace(match, r"^\+\d{1,3}", ""))
@@ -211,20 +223,22 @@ def _replaced(match: Column, redrawn: Column, key: str) -> Column:
         draw = F.coalesce(F.try_element_at(redrawn, F.concat_ws(" ", kind, value)), F.lit(0))
         return surrogate(kind, value, draw, key)
 
-    def text(found: Column) -> Column:
-        kind, first = found[0]["kind"], to(found[0])
+    def text(found: Column, made: Column) -> Column:
+        kind, first = F.get(found, F.lit(0))["kind"], F.get(made, F.lit(0))
         title = F.concat(F.substring_index(match, " ", 1), F.lit(" "))
+        country = F.regexp_extract(match, r"^(\+\d{1,3})?", 0)
+        local = F.substring(match, F.length(country) + 1, F.length(match))
+        digits = F.when(kind == "phone", F.substring_index(first, " ", -1)).otherwise(first)
         return (
             F.when(F.size(found) == 0, match)
-            .when(kind == "phone", F.concat(F.regexp_extract(match, r"^(\+\d{1,3})?", 0), _laid(F.regexp_replace(match, r"^\+\d{1,3}", ""), F.substring_index(first, " ", -1))))
-            .when(kind.isin("card", "number"), _laid(match, first))
+            .when(kind.isin("phone", "card", "number"), F.concat(country, _laid(local, digits)))
             .when(kind == "secret", F.concat(F.regexp_extract(match, _VALUE, 1), first))
             .when(kind == "family", F.concat(title, first))
-            .when(F.size(found) == 2, F.concat(title, first, F.lit(" "), to(F.get(found, F.lit(1)))))
+            .when(F.size(found) == 2, F.concat(title, first, F.lit(" "), F.get(made, F.lit(1))))
             .otherwise(first)
-        )
+        )
 
-    return F.element_at(F.transform(F.array(_entities(match)), text), 1)
+    return _let(_entities(match), lambda found: _let(F.transform(found, to), lambda made: text(found, made)))
 
 
 def _settled(entities: DataFrame, key: str) -> DataFrame:
