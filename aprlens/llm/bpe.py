@@ -32,7 +32,7 @@ def _byte_letters() -> str:
 class Bpe:
     """Ids as packed little-endian unsigned 32-bit integers. ``most`` bounds each of the word tables."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 

@@ -250,7 +250,7 @@ def _sampler(model: str, seed: int, with_ids: bool):
         m = piece_model(model)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for cut, part in text_parts(batch.column("text")):
+            for cut, part in text_parts(batch.column("text"), 4 << 20):
                 ids, count = m.encode(part, row_keys(doc_ids[cut], seed))
                 stop = np.cumsum(count)
                 own = [ids[e - n : e] for e, n in zip(stop, count, strict=True)]

@@ -88,7 +88,7 @@ class Scan:
         return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
 
 
-def text_parts(column: pa.Array, limit: int = 4 * PIECE) -> Iterator[tuple[slice, list[str | None]]]:
+def text_parts(column: pa.Array, limit: int = 2 * PIECE) -> Iterator[tuple[slice, list[str | None]]]:
     """Cuts a column of texts so that each part holds about ``limit`` bytes, one text at least; only a part's texts are
     Python objects at a time."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
