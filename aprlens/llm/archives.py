@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 32 << 20  # of compressed records in a file; a longer record has a file of its own
 KEY_HEADER = "X-Record-Key"  # carries the caller's integer key through both formats
+_OPENING = re.compile(rb"(\d+) \d+[^\n]*\n")  # how the block of a version block begins
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the published namespace for URLs
 
 
@@ -67,12 +69,22 @@ def arc_header(version: str, name: str, date: str) -> bytes:
     return arc_record(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", body, name)
 
 
-def arc_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive, the version block left out: ``offset``, ``url``, ``ip``, ``date``, ``mime``,
-    ``status``, ``block``. Records before any version block count as version 1. A header line of neither version, or
-    a length beyond the archive's end, raises ValueError with the offset."""
-    version = "1"
-    for start, text in _members(content):
+def arc_entries(content: bytes) -> Iterator[dict | str]:
+    """The records of one archive in order, version blocks left out: ``offset``, ``url``, ``ip``, ``date``, ``mime``,
+    ``status``, ``block``; in the place of what cannot be read stands what is wrong with it. Records before any
+    version block count as version 1.
+
+    A version block is told by its content, not by its URL alone, as pages can have such URLs too. Reading goes on
+    behind a record of known length, else with the next gzip member."""
+    version, members, start = "1", _members(content), 0
+    while True:
+        try:
+            start, text = next(members, (start, None))
+        except zlib.error as error:
+            yield str(error)
+            return
+        if text is None:
+            return
         at = 0
         while at < len(text):
             if text[at : at + 1] in (b"\n", b"\r"):
@@ -80,18 +92,21 @@ def arc_records(content: bytes) -> Iterator[dict]:
                 continue
             stop = text.find(b"\n", at)
             fields = text[at : stop if stop >= 0 else len(text)].rstrip(b"\r").decode("utf-8", "replace").split(" ")
-            if stop < 0 or len(fields) not in (5, 10) or not fields[-1].isdigit():
-                raise ValueError(f"no ARC header line at {start}+{at}")
+            if stop < 0 or len(fields) not in (5, 10) or not fields[-1].isdecimal():
+                yield f"no ARC header line at {start}+{at}"
+                break
             length = int(fields[-1])
             block = text[stop + 1 : stop + 1 + length]
+            opening = _OPENING.match(block) if fields[0].startswith("filedesc://") else None
             if len(block) < length:
-                raise ValueError(f"record at {start}+{at} ends before its declared length")
-            if fields[0].startswith("filedesc://"):
-                version = block[:1].decode("ascii", "replace")
-                if version not in ARC_FIELDS:
-                    raise ValueError(f"unknown ARC version at {start}+{at}")
+                yield f"record at {start}+{at} ends before its declared length"
+                break
+            if opening and opening[1].decode() in ARC_FIELDS:
+                version = opening[1].decode()
+            elif opening:
+                yield f"unknown ARC version at {start}+{at}"
             elif len(fields) != len(ARC_FIELDS[version].split()):
-                raise ValueError(f"header line at {start}+{at} is not of version {version}")
+                yield f"header line at {start}+{at} is not of version {version}"
             else:
                 yield {
                     "offset": start + at,
@@ -105,6 +120,14 @@ def arc_records(content: bytes) -> Iterator[dict]:
             at = stop + 1 + length
 
 
+def arc_records(content: bytes) -> Iterator[dict]:
+    """The records of :func:`arc_entries`; what cannot be read raises ValueError with the offset."""
+    for entry in arc_entries(content):
+        if isinstance(entry, str):
+            raise ValueError(entry)
+        yield entry
+
+
 def http_parts(block: bytes) -> tuple[bytes, bytes]:
     """HTTP head (with its blank line) and payload; a block without a head is all payload."""
     if block[:5] != b"HTTP/":
@@ -221,15 +244,10 @@ def _arc_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             file, rows, held = path.rsplit("/", 1)[-1], [], 0
-            records = arc_records(content)
-            while True:
-                try:
-                    r = next(records, None)
-                except (ValueError, zlib.error) as error:
-                    rows.append(dict.fromkeys(schema.names) | {"file": file, "problem": str(error)})
-                    r = None
-                if r is None:
-                    break
+            for r in arc_entries(content):
+                if isinstance(r, str):
+                    rows.append(dict.fromkeys(schema.names) | {"file": file, "problem": r})
+                    continue
                 head, payload = http_parts(r["block"])
                 key = head_value(head, KEY_HEADER)
                 lines = "\n".join([r["url"], r["ip"], r["date"], r["mime"]]).encode()
@@ -246,7 +264,7 @@ def _arc_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_arcs(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record (``record`` is deflated), and one with ``problem`` where an archive breaks off."""
+    """A row per record (``record`` is deflated), and one with ``problem`` for each part of an archive that cannot be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc*").load(folder)
     return files.select("path", "content").mapInArrow(_arc_reader, RECORD)
 
@@ -353,7 +371,7 @@ def archived(pages: DataFrame, least: int = 0, folder: str | None = None) -> Dat
 
     A null html is an empty payload; empty payloads equal one another. A null page_id is the smallest and stays null;
     a null url gets a placeholder, blanks in one are escaped. Of repeated rows one is the response. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. A record that cannot be read back fails the job.
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "archives")
@@ -361,7 +379,10 @@ def archived(pages: DataFrame, least: int = 0, folder: str | None = None) -> Dat
     empty = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     if write_arcs(rows, f"{folder}/arc").isEmpty():
         return spark.createDataFrame([], empty)
-    names, _ = convert(spark, f"{folder}/arc", f"{folder}/warc", least)
+    names, problems = convert(spark, f"{folder}/arc", f"{folder}/warc", least)
+    lost = problems.limit(5).collect()
+    if lost:
+        raise RuntimeError(f"records lost in conversion: {'; '.join(f'{r["file"]}: {r["problem"]}' for r in lost)}")
     found = read_warcs(spark, f"{folder}/warc").join(names.distinct(), "file", "left_semi")
     found = kept(found, "found")
     targets = found.where("type <> 'revisit'").select(F.col("id").alias("_id"), F.col("key").alias("refers_to"))

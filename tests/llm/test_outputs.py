@@ -158,6 +158,29 @@ def test_a_broken_archive_is_reported(spark, tmp_path):
     assert (row["type"], row["size"]) == ("resource", 5)
 
 
+def test_pages_with_urls_of_version_blocks_are_kept(spark, tmp_path):
+    rows = [(i, f"filedesc://old-{i}.arc" if i % 3 == 0 else f"http://x/{i}", f"2 0 page {i}\n") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    found = archives.archived(pages, folder=f"file://{tmp_path}/x").collect()
+    assert sorted(r["page_id"] for r in found) == list(range(30))
+
+
+def test_reading_goes_on_behind_a_bad_record(spark, tmp_path):
+    record = lambda version, n: archives.arc_record(version, f"u{n}", "i", "1999", "m", b"body", "a")
+    opening = lambda version: archives.arc_header(version, "a", "1999")
+    text = opening("1") + record("1", 1) + record("2", 2) + record("1", 3) + opening("2") + record("2", 4)
+    found = list(archives.arc_entries(text))
+    assert [r["url"] for r in found if isinstance(r, dict)] == ["u1", "u3", "u4"] and len(found) == 4
+    packed = [zlib.compress(x, wbits=31) for x in (opening("1"), b"garbage", record("1", 1))]
+    found = list(archives.arc_entries(b"".join(packed)))
+    assert isinstance(found[0], str) and [r["url"] for r in found[1:]] == ["u1"]
+    (tmp_path / "x/arc").mkdir(parents=True)
+    (tmp_path / "x/arc/bad.arc").write_bytes(b"garbage")
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    with pytest.raises(RuntimeError, match="bad.arc"):
+        archives.archived(pages, folder=f"file://{tmp_path}/x")
+
+
 def test_sampled_pieces_are_lossless_and_repeatable(odd_docs, no_docs):
     found = pieces.sampled_pieces(odd_docs, PIECES, seed=5, with_ids=True).collect()
     assert all(r["lossless"] for r in found)
