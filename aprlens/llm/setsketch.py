@@ -239,10 +239,12 @@ def _unsettled(members: DataFrame) -> DataFrame:
 def _linked_block(similarity: int):
     """Links between the classes of two blocks of a cluster, each class with the least one it reaches there."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if right.empty:
+        if key[1] == key[2]:
             right = left  # a block with itself
+        if left.empty or right.empty:  # of two blocks one may hold no class
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         x, y = list(left["shingles"]), list(right["shingles"])
         nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
         common = np.intersect1d(np.concatenate(x), np.concatenate(y))

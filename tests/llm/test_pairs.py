@@ -110,6 +110,21 @@ def test_unlike_members_of_one_bucket_are_all_compared(spark):
         assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i in range(24)}
 
 
+def test_blocks_without_classes(spark):
+    """Long texts get so small blocks that some hold no class: here as many blocks as classes."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(12):
+        own = [word() for _ in range(30)]
+        rows.append((2 * i, " ".join(passage + own)))
+        rows.append((2 * i + 1, " ".join(passage + own[:-1] + [word()])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = setsketch.near_duplicates(docs, small_bucket=3, block=1).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i in range(24)}
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(2)
     a, b = (rng.integers(0, 1 << 63, 3000, dtype=np.uint64) for _ in range(2))
