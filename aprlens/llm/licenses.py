@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in Spark's own functions.
 
-Every template's tokens are ordered by how many documents hold them, rarest first. A block that contains the wanted
-share of a template must hold a token of its prefix in that order; the first such token's position bounds what the
-block can still share, its number of known tokens bounds it too, and what passes is counted out.
+A block is any run of so many words as the template allows, over line ends too. Every template's tokens are ordered by
+how many documents hold them, rarest first. A block that contains the wanted share of a template must hold a token of
+its prefix in that order, so blocks are looked for around such tokens only; what lies around one bounds what a block
+there can share, and what passes is counted out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 SHARE = 0.8  # of a template's distinct tokens that a block must hold
+SPREAD = 1.5  # words of a block for each word of its template
 _LETTER = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # what a word is made of; A-Z are lower-cased
 WORD = f"[{_LETTER}]+"
 _START, _STOP, _GAP = f"(?<![{_LETTER}])", f"(?![{_LETTER}])", f"[^{_LETTER}]+"
@@ -81,15 +83,16 @@ def licensed(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, shar
     """``doc_id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``: one
     row per row of ``docs``.
 
-    A text's words are runs of letters A-Z (lower-cased), digits and characters above U+007F; its blocks are its
-    lines. A template's label is added where a block holds ``share`` of its distinct words or more. ``score`` is 1
-    with a base phrase, else the largest share of a template found, else 0. Null and empty texts have no words, null
+    A text's words are runs of letters A-Z (lower-cased), digits and characters above U+007F; its blocks are runs of
+    words, whatever lines they are on. A template's label is added where a block of at most :data:`SPREAD` times the
+    template's words holds ``share`` of its distinct words or more. ``score`` is 1 with a base phrase, else the
+    largest share of a template found, else 0. Null and empty texts have no words, null
     positions, empty labels and score 0; repeated rows and null ids keep their rows; other columns are ignored; an
     empty table gives an empty result. Templates belong to the call, so tables of their words are small.
     """
     spark = docs.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
+    sets = [(label, sorted(set(text.split())), len(text.split())) for label, text in templates]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
     text = F.coalesce(F.col("text"), F.lit(""))
     # Global order: how many documents hold each template word, over all documents. One row per word at most.
     held = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(any_of(vocabulary)), F.lit(0)), _lowered))
@@ -98,40 +101,45 @@ def licensed(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, shar
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     index, contents = [], []
-    for t, (label, words) in enumerate(sets):
+    for t, (label, words, length) in enumerate(sets):
         words = sorted(words, key=rank.__getitem__)
         need = math.ceil(share * len(words) - 1e-9)
-        contents.append((t, label, words, need))
-        index += [(w, t, len(words) - at, need) for at, w in enumerate(words[: len(words) - need + 1])]
-
-    prefix = any_of(sorted({w for w, *_ in index}))
-    # A block is reduced to the template words it holds, in global order.
-    ordered = _strings(order)
-    reduced = lambda line: F.array_intersect(ordered, F.regexp_extract_all(_lowered(line), F.lit(WORD), F.lit(0)))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(prefix))
-    blocks = F.when(text.rlike(prefix), F.array_distinct(F.transform(lines, reduced)))
+        contents.append((t, label, words, need, math.ceil(SPREAD * length)))
+        index += [(w, t) for w in words[: len(words) - need + 1]]
+
+    starts = sorted({w for w, _ in index})
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
     for name, value in _base(F.col("text")).items():
         rows = rows.withColumn(name, value)
-    rows = kept(rows.withColumn("blocks", blocks).drop("text"), "scanned")
-
-    by_word = spark.createDataFrame(index, "word string, template int, rest int, need int")
-    templates_df = spark.createDataFrame(contents, "template int, label string, words array<string>, need int")
-    block = rows.where("blocks is not null").select("row", F.explode("blocks").alias("block"))
-    block = block.where(F.size("block") >= min((need for *_, need in contents), default=0))
-    token = block.select("row", "block", F.posexplode("block").alias("at", "word"))
-    met = token.join(F.broadcast(by_word), "word")
-    # Length: the block must hold enough known words. Position: from the first word they share, in the global order,
-    # both must have enough left.
-    first = met.where(F.size("block") >= F.col("need")).groupBy("row", "block", "template", "need")
-    first = first.agg(F.min("at").alias("at"), F.max("rest").alias("rest"))
-    pairs = first.where(F.least(F.size("block") - F.col("at"), F.col("rest")) >= F.col("need"))
-    pairs = pairs.select("row", "block", "template")
-    checked = pairs.join(F.broadcast(templates_df), "template")
-    shared = F.size(F.array_intersect("block", "words"))
-    hits = checked.where(shared >= F.col("need")).select("row", "label", (shared / F.size("words")).alias("share"))
+    rows = rows.withColumn("text", F.when(F.col("text").rlike(any_of(starts)), F.col("text")))
+    rows = kept(rows, "scanned")
+
+    by_word = spark.createDataFrame(index, "start string, template int")
+    templates_df = spark.createDataFrame(contents, "template int, label string, known array<string>, need int, span int")
+    by_word = by_word.join(templates_df, "template")
+    # Around each word of a prefix lies every block that may hold it: the words of the longest block to both sides.
+    longest = max((span for *_, span in contents), default=1)
+    words = rows.where("text is not null").select("row", F.regexp_extract_all(_lowered(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
+    known = F.transform("words", lambda w, i: F.when(w.isin(starts), i))
+    around = words.select("row", "words", F.explode(F.array_compact(known)).alias("at"))
+    around = around.select(
+        "row",
+        F.get("words", F.col("at")).alias("start"),
+        F.least("at", F.lit(longest - 1)).alias("before"),
+        F.slice("words", F.greatest(F.col("at") - longest + 2, F.lit(1)), F.least("at", F.lit(longest - 1)) + longest).alias("near"),
+    )
+    met = around.join(F.broadcast(by_word), "start")
+    first = F.greatest(F.col("before") - F.col("span") + 1, F.lit(0))
+    near = F.slice("near", first + 1, F.col("before") - first + F.col("span"))
+    met = met.select("row", "label", "known", "need", "span", near.alias("near"))
+    met = met.where(F.size(F.array_intersect("near", "known")) >= F.col("need"))
+    # Every block there, counted out.
+    blocks = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("span") + 1, F.lit(1)))
+    shared = F.array_max(F.transform(blocks, lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("span")), "known"))))
+    hits = met.select("row", "label", "need", F.size("known").alias("of"), shared.alias("shared"))
+    hits = hits.where("shared >= need").select("row", "label", (F.col("shared") / F.col("of")).alias("share"))
     hits = hits.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
-    out = rows.drop("blocks").join(hits.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
+    out = rows.drop("text").join(hits.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("added", _strings([]))))
     return out.select(
         "doc_id",
