@@ -34,7 +34,8 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 SHARE = 0.8  # of a template's distinct tokens that a block must hold
-SPREAD = 1.5  # words of a block for each word of its template
+WHOLE = 14  # templates of fewer distinct tokens must be held whole: each of their few words tells licenses apart
+SPREAD = 1.5  # words of a block for each word of a longer template; those held whole have no word between
 _LETTER = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # what a word is made of; A-Z are lower-cased
 WORD = f"[{_LETTER}]+"
 _START, _STOP, _GAP = f"(?<![{_LETTER}])", f"(?![{_LETTER}])", f"[^{_LETTER}]+"
@@ -85,7 +86,8 @@ def licensed(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, shar
 
     A text's words are runs of letters A-Z (lower-cased), digits and characters above U+007F; its blocks are runs of
     words, whatever lines they are on. A template's label is added where a block of at most :data:`SPREAD` times the
-    template's words holds ``share`` of its distinct words or more. ``score`` is 1 with a base phrase, else the
+    template's words holds ``share`` of its distinct words or more; a template of fewer than :data:`WHOLE` distinct
+    words must be there whole, in any order but with nothing between. ``score`` is 1 with a base phrase, else the
     largest share of a template found, else 0. Null and empty texts have no words, null
     positions, empty labels and score 0; repeated rows and null ids keep their rows; other columns are ignored; an
     empty table gives an empty result. Templates belong to the call, so tables of their words are small.
@@ -103,8 +105,9 @@ def licensed(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, shar
     index, contents = [], []
     for t, (label, words, length) in enumerate(sets):
         words = sorted(words, key=rank.__getitem__)
-        need = math.ceil(share * len(words) - 1e-9)
-        contents.append((t, label, words, need, math.ceil(SPREAD * length)))
+        whole = len(words) < WHOLE
+        need = len(words) if whole else math.ceil(share * len(words) - 1e-9)
+        contents.append((t, label, words, need, length if whole else math.ceil(SPREAD * length)))
         index += [(w, t) for w in words[: len(words) - need + 1]]
 
     starts = sorted({w for w, _ in index})

@@ -99,14 +99,21 @@ def test_licenses_equal_plain_python(odd_docs, no_docs):
     assert licenses.licensed(no_docs).count() == 0
 
 
-def test_wrapped_notices(spark):
+def test_wrapped_and_look_alike_notices(spark):
     wrapped = {
         "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
         "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
         "mpl-2.0": " * This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0.",
         "apache,apache-2.0": "Licensed under the Apache\nLicense, Version 2.0",
     }
-    cases = [*wrapped.items()]
+    alike = {
+        "apache": "Released under the Apache License",
+        "cc-by": "Licensed under CC BY 4.0",
+        "mit": "licensed under the mit license version 2 0",
+        "": "released early, " + "under " * 30 + "the mit and its license",
+        "gpl": "this work is licensed under the GNU General Public License version 2",
+    }
+    cases = [*wrapped.items(), *alike.items()]
     docs = spark.createDataFrame([(i, f"some words before\n{t}\nand after") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
     found = {r["doc_id"]: r["labels"] for r in licenses.licensed(docs).collect()}
     assert [found[i] for i in range(len(cases))] == [labels for labels, _ in cases]
