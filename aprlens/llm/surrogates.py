@@ -37,11 +37,26 @@ _TITLE = "|".join(h for words in HONORIFICS.values() for h in words.split())
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-PHONE = r"(?<![\p{L}\p{N}.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-CARD = r"(?<![\p{L}\p{N}.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\p{L}\p{N}])"
+# International: "+", the country's code as assigned, 6 to 12 further digits. National: ten digits of North America in
+# one run, 3-3-4 digits, or a trunk zero and groups set apart by one and the same sign, 9 to 11 digits.
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_PREFIX = rf"^(?:\+{_CODE}(?:[ .-]?\(0\))?|0(?=\d))?"  # what of a number stays as it is
+PHONE = (
+    r"(?<![\p{L}\p{N}.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    rf"|\+{_CODE}(?:[ .-]?\(0\))?(?=(?:[ .()-]{{0,2}}\d){{6,12}}(?!\d))(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{2,12}}|[ .-]\d(?=[ .-]\d)){{1,6}}"
+    r"|0(?=(?:[ ./-]?\d){8,10}(?![ ./-]?\d))\d{1,4}(?<apart>[ ./-])\d{2,8}(?:\k<apart>\d{2,4}){0,4}"
+    r"|[2-9]\d{2}[2-9]\d{6})(?![\p{L}\p{N}])"
+)
+CARD = r"(?<![\p{L}\p{N}.-])(?:\d{13,19}|\d{4}(?<gap>[ -])(?:\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{6}\k<gap>\d{4,5}))(?![\p{L}\p{N}])"
 ADDRESS = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])"
 NUMBER = r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-ASSIGNED = r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_+/-]{0,60}\d)[A-Za-z0-9_+/=-]{8,}"
+# In quotes a value is all up to the closing quote that has no blank, else all up to a blank, a quote or an angle bracket,
+# but for closing punctuation. One without any letter or digit is a mask, one that is an email is an email.
+ASSIGNED = (
+    r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+    rf"(?![\"']?{EMAIL}(?:[\"'\s]|$))(?=[\"']?[^\s\"'\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])"
+    r"(?:\"[^\s\"]{8,}+(?=\")|'[^\s']{8,}+(?=')|[\"']?[^\s\"'<>]{7,}[^\s\"'<>.,:;?)\]}])"
+)
 ACCESS = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
 PERSON = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})"
 ENTITY = "|".join([EMAIL, ASSIGNED, ACCESS, CARD, PHONE, NUMBER, ADDRESS, PERSON])
@@ -77,8 +92,12 @@ def _word_number(digest: Column, at: int) -> Column:
 
 
 def _recast(value: Column, digest: Column) -> Column:
-    """Every sign replaced by one of its class: digit, a-f within hex, letter by case and script; others stay."""
-    plain_hex = value.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$")
+    """Every sign replaced by one of its class: digit, a-f within hex, letter by case and script (a to z
+    for letters of other scripts); others stay."""
+    return _let(value.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"), lambda plain_hex: _signs(value, digest, plain_hex))
+
+
+def _signs(value: Column, digest: Column, plain_hex: Column) -> Column:
     signs = F.transform(
         F.split(value, ""),
         lambda c, i: F.when(plain_hex, F.substring(F.lit(HEX), F.pmod(_byte(digest, i) + i, F.lit(16)) + 1, F.lit(1)))
@@ -86,6 +105,7 @@ def _recast(value: Column, digest: Column) -> Column:
         .when(c.rlike("[a-z]"), F.char(F.pmod(_byte(digest, i), F.lit(26)) + 97))
         .when(c.rlike("[A-Z]"), F.char(F.pmod(_byte(digest, i), F.lit(26)) + 65))
         .when(c.rlike(r"\p{IsCyrillic}"), F.substring(F.lit("абвгдежзиклмнопрстуфхцчшщэюя"), F.pmod(_byte(digest, i), F.lit(28)) + 1, F.lit(1)))
+        .when(c.rlike(r"[\p{L}\p{N}]"), F.char(F.pmod(_byte(digest, i), F.lit(26)) + 97))
         .otherwise(c),
     )
     return F.array_join(signs, "")
@@ -159,7 +179,7 @@ def _surrogate(kind: Column, value: Column, draw: Column, digest: Column, key: s
 def _kind(match: Column) -> Column:
     """The kind of one match of :data:`ENTITY`."""
     return (
-        F.when(match.contains("@"), "email")
+        F.when(match.rlike("^(?:" + EMAIL + ")$"), "email")
         .when(match.rlike("^" + ACCESS + "$"), "access")
         .when(match.rlike("^" + ADDRESS + "$"), "address")
         .when(match.rlike("^" + NUMBER + "$"), "number")
@@ -170,7 +190,7 @@ def _kind(match: Column) -> Column:
     )
 
 
-_VALUE = r"^(.*?[=:]\s*[\"']?)(.*)$"
+_VALUE = r"(?s)^(.*?[=:]\s*[\"']?)(.*)$"
 
 
 def _entities(match: Column) -> Column:
@@ -180,8 +200,8 @@ def _entities(match: Column) -> Column:
 
 def _entities_of(match: Column, kind: Column) -> Column:
     one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
-    country = F.coalesce(F.nullif(F.regexp_extract(match, r"^\+(\d{1,3})", 1), F.lit("")), F.lit("-"))
-    local = _digits(F.regexp_replace(match, r"^\+\d{1,3}", ""))
+    country = F.coalesce(F.nullif(F.regexp_extract(match, rf"^\+({_CODE})", 1), F.lit("")), F.lit("-"))
+    local = _digits(F.regexp_replace(match, _PREFIX, ""))
     words = F.split(match, " ")
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = F.lit("x")
@@ -226,7 +246,7 @@ def _replaced(match: Column, redrawn: Column, key: str) -> Column:
     def text(found: Column, made: Column) -> Column:
         kind, first = F.get(found, F.lit(0))["kind"], F.get(made, F.lit(0))
         title = F.concat(F.substring_index(match, " ", 1), F.lit(" "))
-        country = F.regexp_extract(match, r"^(\+\d{1,3})?", 0)
+        country = F.when(kind == "phone", F.regexp_extract(match, _PREFIX, 0)).otherwise(F.lit(""))
         local = F.substring(match, F.length(country) + 1, F.length(match))
         digits = F.when(kind == "phone", F.substring_index(first, " ", -1)).otherwise(first)
         return (
@@ -264,7 +284,10 @@ def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_entities``: how many entities were replaced.
 
     Emails, phone, card (with a right check digit), identity and access numbers, IPv4 addresses, assigned secrets and
-    names after a form of address are found. Null texts stay null, texts without entities stay as they are, repeated
+    names after a form of address are found. Left out are phone numbers after 00, without "+", trunk zero or 3-3-4
+    digits outside North America and with extensions, card numbers in other groups than 4-4-4-4, 4-6-5 and 4-6-4,
+    secrets of fewer than eight signs, those with blanks, what follows a quote or angle bracket inside one, and secrets
+    that no key word with "=" or ":" names. Null texts stay null, texts without entities stay as they are, repeated
     rows and null ids are kept, columns other than ``text`` are carried whatever their names (those that begin with
     two underscores are reserved, ``n_entities`` is replaced), and an empty table gives an empty result.
     """

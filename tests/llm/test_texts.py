@@ -158,6 +158,28 @@ def test_surrogates(spark, odd_docs, no_docs):
     assert surrogates.with_surrogates(no_docs).count() == 0
 
 
+def test_usual_forms_of_numbers_and_secrets(spark):
+    found = [
+        "+14155552671", "4155552671", "+44 20 7946 0958", "+33 1 42 68 53 00", "+44 (0)20 7946 0958", "020 7946 0958",
+        "01 42 68 53 00", "+49 30 123456", "3782 822463 10005", "password=P@ssw0rd!2024", "password: correcthorsebattery",
+        'api_key="sk.live.abc123def456"', '{"token": "abc123def456"}', "secret=" + "x" * 70 + "1", "token='パスワードパスワード'",
+    ]
+    other = ["on 01.02.2024 at 10", "1700000000 s", "3782 822463 10004", "password: ********", "token: short", "call 12 34 56", "+1 of 20"]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(found + other)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in surrogates.with_surrogates(docs).collect()}
+    assert [out[i]["n_entities"] for i in range(len(out))] == [1] * len(found) + [0] * len(other)
+    assert [out[i]["text"] for i in range(len(found), len(out))] == [f"x {t} y" for t in other]
+    shape = lambda t: re.sub(r"\d", "0", t)
+    for i, t in enumerate(found):
+        new = out[i]["text"][2:-2]
+        assert new != t and (i > 8 or shape(new) == shape(t)), (t, new)
+    assert re.fullmatch(r'\{"token": "[a-z0-9]{12}"\}', out[12]["text"][2:-2]) and "パ" not in out[14]["text"]
+    assert re.fullmatch(r"password=[A-Z]@[a-z]{2}[a-z0-9]{4}!\d{4}", out[9]["text"][2:-2])
+    same = spark.createDataFrame([(0, "+1 (415) 555-2671, +14155552671")], "doc_id long, text string")
+    one, two = surrogates.with_surrogates(same).first()["text"].split(", ")
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two)
+
+
 def test_clashing_surrogates_are_drawn_again(spark):
     """More names than the lists hold: all distinct afterwards, none equal to a name that occurs."""
     taken = surrogates.GIVEN["latin f"].split()
