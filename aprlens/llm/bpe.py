@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, each distinct word encoded once per worker.
 
 A text is cut only where the vocabulary's own word pattern always cuts: before a single space, and around a single
-line break. Texts with runs of white space go to the library whole.
+line break. Texts with runs of white space or with the content of an added token go to the library whole.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ def _byte_letters() -> str:
 
 
 class Bpe:
-    """Ids as packed little-endian unsigned 32-bit integers. ``most`` bounds each of the word tables."""
+    """Ids as packed little-endian unsigned 32-bit integers. ``most`` bounds each of the word tables. ``added``: a
+    special token's content in a text is that token, as by the library's default, and not plain signs."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 200_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.model = self.whole.model
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
         self.most = most
@@ -78,7 +80,12 @@ class Bpe:
         for table in (self.bare, self.spaced, self.words):
             if len(table) > self.most:
                 table.clear()
-        cut = [None if not t or _RUNS.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [
+            None
+            if not t or _RUNS.search(t) or any(a in t for a in self.added)
+            else [line.split(" ") for line in t.split("\n")]
+            for t in texts
+        ]
         bare, spaced = set(), set()
         for lines in cut:
             for line in lines or ():
@@ -100,5 +107,5 @@ class Bpe:
 
 @cache
 def encoder(path: str) -> Bpe:
-    """One per worker process, kept between tasks."""
-    return Bpe(path)
+    """One per worker process, kept between tasks; with the library's defaults."""
+    return Bpe(path, added=True)

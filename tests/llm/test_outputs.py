@@ -41,6 +41,21 @@ def test_bpe_equals_the_library(library):
         assert [array("I", x).tolist() for x in bpe.encode(batch)] == [library(t) for t in batch]
 
 
+def test_special_tokens_in_texts_are_as_by_the_library(spark):
+    default = Tokenizer.from_file(VOCABULARY)
+    texts = [*HARD, "a <|endoftext|> b", "x<|endoftext|>y\nz", "<|endoftext|><|endoftext|>", "<|endoftext| >"]
+    plain = [default.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [array("I", x).tolist() for x in Bpe(VOCABULARY, added=True).encode(texts)] == plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in token_codes.token_table(docs, VOCABULARY).collect()}
+    expected = [(len(x) + 1, zlib.crc32(array("I", [*x, 0]).tobytes())) for x in plain]
+    assert [(found[i]["n_tokens"], found[i]["ids_crc32"]) for i in range(len(texts))] == expected
+    packed = packing.packed_batches(docs, VOCABULARY).collect()
+    assert {r["doc_id"]: r["start"] + r["n_tokens"] for r in packed if r["part"] == 0 and len(plain[r["doc_id"]]) < 2000} == {
+        i: len(x) + 1 for i, x in enumerate(plain)
+    }
+
+
 def test_codes_give_random_access():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 256, 3000), rng.integers(0, 1 << 17, 3000), [0, 255, 256, 65535, 65536, (1 << 32) - 1]])
