@@ -29,3 +29,27 @@ def write_file(folder: str, name: str, content: bytes) -> str:
         with store.open_output_stream(f"{path}/{name}") as out:
             out.write(content)
     return name
+
+
+def _opened(folder: str, name: str):
+    """Store and path of a file."""
+    from pyarrow import fs
+
+    parsed = urlparse(folder)
+    if parsed.scheme in ("", "file"):
+        return fs.LocalFileSystem(), f"{parsed.path if parsed.scheme else folder}/{name}"
+    store, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+    return store, f"{path}/{name}"
+
+
+def read_file(folder: str, name: str) -> bytes:
+    """What :func:`write_file` wrote."""
+    store, path = _opened(folder, name)
+    with store.open_input_stream(path) as content:
+        return content.read()
+
+
+def delete_file(folder: str, name: str) -> None:
+    """Removes a file of :func:`write_file` that no other task reads."""
+    store, path = _opened(folder, name)
+    store.delete_file(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, embed_dedup, licenses, packing, pieces, quality, setsketch, sharding, surrogates, token_codes
+from . import archives, conversations, embed_dedup, licenses, merkle, packing, pieces, quality, setsketch, sharding
+from . import surrogates, token_codes, toxicity as toxic_texts
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .shared import table
 
@@ -54,6 +55,18 @@ def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), 24)
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_repaired(table(spark, sf_dir, "conversations"))
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_texts.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": embedding_near_dedup,
     "op2_quality_rules": quality_rules,
@@ -65,4 +78,7 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash_near_dedup,
     "op9_license_scan": license_scan,
     "op10_vector_sharding": vector_sharding,
+    "op11_conversation_repair": conversation_repair,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_toxicity": toxicity,
 }
