@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.markets import (
     MARKET_COLUMNS,
@@ -19,6 +19,7 @@ from ..functions.markets import (
 )
 from ..functions.timing import FIRST_SECOND, LAST_SECOND, datetime_or_iso, utc_date
 from ..sources.archives import ARCHIVE_SUFFIX, BAD_LINE, parse_lines, scan_archives
+from ..sources.tables import drop_folder, staged_split, write_sorted, write_table
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,10 @@ class Dataset:
         known |= dict.fromkeys(self.numbers, "double")
         return {c: known.get(c, "string") for c in self.columns}
 
+    @property
+    def order(self) -> list[str]:
+        return [*(["market"] if self.per_market else ["exchange", "asset"]), self.timestamp]
+
     @property
     def text_fields(self) -> list[str]:
         return ["datetime", *self.texts]
@@ -122,6 +127,27 @@ def checked(lines: DataFrame, dataset: Dataset) -> DataFrame:
     return _typed(lines, dataset).select(*dataset.columns, "reject_reason", F.col(BAD_LINE).alias("line"))
 
 
+def write_checked(
+    lines: DataFrame, dataset: Dataset, table: str, rejects: str, seen: Observation, strict: bool = False, fmt: str = "parquet"
+) -> None:
+    """Accepted lines to ``table`` in order, rejected ones with their reason to ``rejects``.
+
+    One pass over ``lines`` parses them and tells ``seen`` how many there are of each; the tables are laid out from what
+    it wrote. ``strict`` fails on the first bad line.
+    """
+    bad = F.col("reject_reason").isNotNull()
+    rows = checked(lines, dataset)
+    if strict:
+        stop = F.raise_error(F.concat_ws(": ", "source_path", "reject_reason"))
+        rows = rows.where(F.when(bad, stop).otherwise(True))
+    rows = rows.observe(seen, F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected"))
+    staging = f"{table.rstrip('/')}__staged"
+    good, rest = staged_split(rows.withColumn("rejected", bad), "rejected", staging)
+    write_sorted(good, table, dataset.order, list(dataset.columns), fmt)
+    write_table(rest, rejects, ["source_path", "reject_reason", "line"])
+    drop_folder(lines.sparkSession, staging)
+
+
 def accepted(lines: DataFrame, dataset: Dataset, strict: bool = False) -> DataFrame:
     reason = F.col("reject_reason")
     keep = reason.isNull()

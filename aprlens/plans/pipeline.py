@@ -48,23 +48,14 @@ class Counts(NamedTuple):
 def clean_tables(
     spark: SparkSession, raw_root: str, out: str, strict: bool = False, fmt: str = "parquet"
 ) -> dict[str, Counts]:
-    """Write the four clean tables; returns how many lines of each were accepted and rejected, both counted in the
-    pass that writes the table. Where lines were rejected, a second pass writes them with their reason to
-    ``<table>_rejected``."""
+    """Write the four clean tables and, with their reason, the rejected lines of each to ``<table>_rejected``: one pass
+    over the archives writes and counts both. Returns the counts."""
     counts = {}
     for name, dataset in CLEAN_TABLES.items():
         seen = Observation(name)
         lines = clean.read_lines(spark, raw_root, dataset)
-        good = F.col("reject_reason").isNull()
-        if strict:
-            table = clean.accepted(lines, dataset, strict).withColumn("reject_reason", F.lit(None).cast("string"))
-        else:
-            table = clean.checked(lines, dataset)
-        table = table.observe(seen, F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"))
-        write_table(table.where(good), f"{out}/{name}", list(dataset.columns), fmt)
+        clean.write_checked(lines, dataset, f"{out}/{name}", f"{out}/{name}_rejected", seen, strict, fmt)
         counts[name] = Counts(seen.get["accepted"], seen.get["rejected"])
-        if counts[name].rejected:
-            write_table(clean.rejected(lines, dataset), f"{out}/{name}_rejected")
     return counts
 
 

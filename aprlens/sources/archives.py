@@ -1,17 +1,21 @@
 """Scan of zipped newline-delimited JSON.
 
-A zip member is one deflate stream, so an archive is decoded by one task; there are many archives. Python
-only inflates: it hands blocks of whole lines back to Spark, which splits, checks and parses them.
+An archive's central directory says where its members lie. Tasks read the directories by range, the members found are dealt
+anew, and each is inflated as a stream by the task that gets it, so an archive of any size is read by as many tasks as it
+has members. Python only inflates: it hands blocks of whole lines back to Spark, which splits, checks and parses them.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,7 +25,16 @@ ARCHIVE_GLOB = "*.ndjson.zip"
 ARCHIVE_SUFFIX = ".ndjson.zip"
 LISTING_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 BLOCK_SCHEMA = pa.schema([("path", pa.string()), ("block", pa.binary()), ("problem", pa.string())])
+MEMBER_SCHEMA = "path string, start long, packed long, size long, crc long, method int, flags int, problem string"
 BLOCK_BYTES = 1 << 20
+TASK_BYTES = 128 << 20
+# The length and fields of the header before a member's content.
+MEMBER_HEADER, MEMBER_MAGIC = struct.Struct("<4s22xHH"), b"PK\x03\x04"
+# Stores that tasks open themselves, by range; archives in others are read whole by Spark.
+RANGED_STORES = {"file", "s3", "s3a", "gs"}
+UNREADABLE = (
+    zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, struct.error, pa.ArrowInvalid,
+)
 BAD_LINE = "_bad_line"
 
 
@@ -58,19 +71,104 @@ def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 for block in _member_blocks(pa.BufferReader(content.as_buffer())):
                     yield _as_batch(path.as_py(), block)
-            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, struct.error) as error:
+            except UNREADABLE as error:
                 yield _as_batch(path.as_py(), None, f"{type(error).__name__}: {error}")
 
 
-def scan_blocks(files: DataFrame) -> DataFrame:
-    """``path, block, problem`` of the listed archives.
+@lru_cache(maxsize=16)
+def _store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
+    if scheme == "file":
+        return fs.LocalFileSystem(), ""
+    store, base = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{authority}/")
+    return store, base.rstrip("/")
 
-    Spark itself reads the files, so every store and path it is configured for works, and all sizes alike up to
-    the 2 GiB that one binary value holds; beyond that Spark fails the job (``spark.sql.sources.binaryFile.maxLength``).
+
+def open_at(path: str) -> pa.NativeFile:
+    """A listed file, for reads by range."""
+    scheme, authority, rest = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", path, re.DOTALL).groups()
+    store, base = _store(scheme, authority or "")
+    return store.open_input_file(base + rest)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per member, from the archive's central directory alone; a row with the ``problem`` where there is none."""
+    names = [f.split()[0] for f in MEMBER_SCHEMA.split(", ")]
+    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.int32()] * 2, pa.string()]
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            try:
+                with open_at(path) as handle, zipfile.ZipFile(handle) as archive:
+                    found = [
+                        (path, m.header_offset, m.compress_size, m.file_size, m.CRC, m.compress_type, m.flag_bits, None)
+                        for m in archive.infolist()
+                        if not m.is_dir()
+                    ]
+            except UNREADABLE as error:
+                found = [(path, *[None] * 6, f"{type(error).__name__}: {error}")]
+            if found:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+
+def _member_stream(handle: pa.NativeFile, start: int, packed: int, size: int, crc: int, method: int, flags: int):
+    """The content of the member whose header begins at ``start``; its checksum is checked at the end."""
+    handle.seek(start)
+    magic, name, extra = MEMBER_HEADER.unpack(handle.read(MEMBER_HEADER.size))
+    if magic != MEMBER_MAGIC:
+        raise zipfile.BadZipFile("no member where the directory says")
+    if flags & 1:
+        raise RuntimeError("member is encrypted")
+    handle.seek(start + MEMBER_HEADER.size + name + extra)
+    info = zipfile.ZipInfo()
+    info.compress_size, info.file_size, info.CRC, info.compress_type, info.flag_bits = packed, size, crc, method, flags
+    return zipfile.ZipExtFile(handle, "r", info)
+
+
+def _inflate_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of lines of each member; one that cannot be read to its end yields a row with the ``problem`` last."""
+    for batch in batches:
+        for path, *where, problem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if problem is not None:
+                yield _as_batch(path, None, problem)
+                continue
+            try:
+                with open_at(path) as handle, _member_stream(handle, *where) as lines:
+                    while block := lines.read(BLOCK_BYTES):
+                        yield _as_batch(path, block + lines.readline())
+            except UNREADABLE as error:
+                yield _as_batch(path, None, f"{type(error).__name__}: {error}")
+
+
+def list_members(files: DataFrame) -> DataFrame:
+    """Where every member of the listed archives lies (:data:`MEMBER_SCHEMA`)."""
+    return files.select("path").mapInArrow(_members, MEMBER_SCHEMA)
+
+
+def scan_members(files: DataFrame, tasks: int) -> DataFrame:
+    """``path, block, problem`` of the listed archives, their members dealt to ``tasks`` tasks."""
+    spread = list_members(files.repartition(tasks, "path")).repartition(tasks, "path", "start")
+    return spread.mapInArrow(_inflate_members, "path string, block binary, problem string")
+
+
+def scan_whole(files: DataFrame) -> DataFrame:
+    """The same with each archive read whole by Spark, for stores only Spark can open.
+
+    An archive is one task, and at most the 2 GiB that one binary value holds; beyond that Spark fails the job
+    (``spark.sql.sources.binaryFile.maxLength``).
     """
     return files.select("path", "content").mapInArrow(inflate, "path string, block binary, problem string")
 
 
+def member_tasks(spark: SparkSession, files: DataFrame) -> int:
+    """One task for each 128 MB of archives and at least one a core, from the listing."""
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return max(-(-total // TASK_BYTES), spark.sparkContext.defaultParallelism)
+
+
+def scheme_of(spark: SparkSession, root: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getScheme()
+
+
 def below(path: Column, root: str, spark: SparkSession) -> Column:
     """The part of a listed file's path below ``root``, which is cut off once, at the front."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -80,10 +178,19 @@ def below(path: Column, root: str, spark: SparkSession) -> Column:
     return F.when(local.startswith(start), F.substring(local, len(start) + 1, 1 << 30)).otherwise(local)
 
 
-def scan_archives(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    """``source_path, block, problem`` of every archive below ``root/prefix``."""
-    files = list_files(spark, f"{root.rstrip('/')}/{prefix}")
-    return placed(scan_blocks(files), spark, root)
+def scan_archives(
+    spark: SparkSession, root: str, prefix: str, ranged: bool | None = None, files: DataFrame | None = None
+) -> DataFrame:
+    """``source_path, block, problem`` of every archive below ``root/prefix``, or of the listed ``files``.
+
+    ``ranged``: tasks open the store themselves and share an archive's members; by default where it is one of
+    :data:`RANGED_STORES`. Otherwise Spark reads each archive whole.
+    """
+    files = list_files(spark, f"{root.rstrip('/')}/{prefix}") if files is None else files
+    if ranged is None:
+        ranged = scheme_of(spark, root) in RANGED_STORES
+    blocks = scan_members(files, member_tasks(spark, files)) if ranged else scan_whole(files)
+    return placed(blocks, spark, root)
 
 
 def placed(blocks: DataFrame, spark: SparkSession, root: str) -> DataFrame:
