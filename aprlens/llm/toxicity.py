@@ -52,10 +52,10 @@ def word_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = owner[n - 2 : n - 2 + starts] == owner[:starts]
         inside &= ~border[1 : 1 + starts]
         at = np.flatnonzero(inside)
-        found.append(owner[at])
-        buckets.append((mixed(total[at]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        found.append(owner[at].astype(np.int32))
+        buckets.append((mixed(total[at]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     return np.concatenate(found), np.concatenate(buckets)
 
 
@@ -77,20 +77,23 @@ class Classifier:
         return Classifier(np.zeros(1 << BUCKET_BITS), math.log(share / (1 - share)))
 
     @staticmethod
-    def fit(texts: list[set[str]], toxic: np.ndarray, share: float, smooth: float = 1.0, decay: float = 0.02) -> Classifier:
+    def fit(texts: pa.ListArray, toxic: np.ndarray, share: float, smooth: float = 1.0, decay: float = 0.02) -> Classifier:
         """``texts`` as distinct words. ``share``: of toxic rows among all that are labelled, to which the classes are weighted.
 
         ``smooth`` is added to every n-gram's count, ``decay`` is the L2 penalty of a coefficient per row.
         """
         if toxic.all() or not toxic.any():
             return Classifier.constant(share)
-        known = {w: i for i, w in enumerate(sorted(set().union(*texts)))}
-        word = np.fromiter((known[w] for t in texts for w in sorted(t)), np.int64)
-        sizes = np.array([len(t) for t in texts])
-        row = np.repeat(np.arange(len(texts)), sizes)
+        coded = texts.flatten().dictionary_encode()
+        known, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        sizes = texts.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         scale = 1 / np.sqrt(np.maximum(sizes, 1))
-        holder, bucket = word_ngrams(list(known))
-        used, bucket = np.unique(bucket, return_inverse=True)
+        holder, bucket = word_ngrams(known)
+        used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS))
+        place = np.zeros(1 << BUCKET_BITS, np.int32)
+        place[used] = np.arange(len(used))
+        bucket = place[bucket]
 
         def spread(v):  # texts x n-grams, times v
             by_word = np.bincount(holder, v[bucket], len(known))
@@ -157,7 +160,7 @@ def _logistic(times, transposed, columns: int, y: np.ndarray, weight: np.ndarray
     return v, bias
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = 4_000, learn: Column | None = None) -> Classifier:
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = 2_000, learn: Column | None = None) -> Classifier:
     """A classifier fitted on labelled documents.
 
     ``rows`` bounds the documents used of each class: those with the smallest hash of their id, so the sample is even and
@@ -175,10 +178,12 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = 4_000, learn: Column
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "_toxic", "text")
     sample = sample.mapInArrow(_word_batches, "doc_id long, toxic int, words array<string>")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(4 * rows).collect()  # repeated rows count twice
-    if not sample:
+    # Repeated rows count twice; in a fixed order, as sums depend on it.
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(4 * rows).toArrow().combine_chunks()
+    if not sample.num_rows:
         return Classifier.constant(share)
-    return Classifier.fit([set(r["words"]) for r in sample], np.array([r["toxic"] == 1 for r in sample]), share)
+    words, toxic = (sample[c].combine_chunks() for c in ("words", "toxic"))
+    return Classifier.fit(words, toxic.to_numpy() == 1, share)
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
