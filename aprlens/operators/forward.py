@@ -35,38 +35,57 @@ def forward_prefix(underlying_daily: DataFrame) -> DataFrame:
     )
 
 
-def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
-    """``sums`` and ``days`` of every pair and month, from its first rate to its last or ``through``.
+def month_pages(underlying_daily: DataFrame) -> DataFrame:
+    """Per pair and month with a rate: totals within the month after each of its days (slot n; slot 0 is zero).
 
-    Slot 0 is the total before the month, slot n the total after its n-th day.
+    A page depends on its own month only, so that a late day changes one page. The window holds the days of a month.
     """
-    by_date = Window.partitionBy(*PAIR).orderBy("date")
-    entry = F.expr(
-        f"""struct(dayofmonth(date) AS day,
-        IF(trunc(nextDate, 'month') = trunc(date, 'month'), datediff(nextDate, date), {DAY_SLOTS} - dayofmonth(date)) AS span,
-        rateSum, rateDays, rateDays - 1 AS daysBefore, sumBefore, nextDate)"""
+    running = Window.partitionBy(*PAIR, "month").orderBy("date")
+    rows = (
+        underlying_daily.where(F.col("realizedApr").isNotNull())
+        .select(*PAIR, F.trunc("date", "month").alias("month"), "date", "realizedApr")
+        .withColumn("sum", F.sum("realizedApr").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("n", F.row_number().over(running))
+        .withColumn("next", F.lead("date").over(running))
     )
-    months = (
-        forward_prefix(underlying_daily)
-        .withColumns({"nextDate": F.lead("date").over(by_date), "sumBefore": F.lag("rateSum", 1, 0.0).over(by_date)})
-        .groupBy(*PAIR, F.trunc("date", "month").alias("ownMonth"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.max(F.trunc(through, "month")).alias("lastMonth"))
+    entry = F.expr(f"struct(dayofmonth(date) AS day, coalesce(datediff(next, date), {DAY_SLOTS} - dayofmonth(date)) AS span, sum, n)")
+    months = rows.groupBy(*PAIR, "month").agg(F.sort_array(F.collect_list(entry)).alias("e"))  # 31 entries at most
+
+    def page(field: str, zero: str) -> str:
+        return f"concat(array_repeat({zero}, e[0].day), flatten(transform(e, x -> array_repeat(x.{field}, x.span))))"
+
+    return months.selectExpr(*PAIR, "month", f"{page('sum', '0D')} AS sums", f"{page('n', '0')} AS days")
+
+
+def carried_pages(pages: DataFrame, through: Column) -> DataFrame:
+    """:func:`month_pages` on top of the totals of the months before, and a page for each month without a rate, up to the
+    last rate or ``through``. The window holds one row per month of a pair."""
+    by_month = Window.partitionBy(*PAIR).orderBy("month")
+    before = by_month.rowsBetween(Window.unboundedPreceding, -1)
+    carried = pages.withColumns(
+        {
+            "sumBefore": F.coalesce(F.sum(F.element_at("sums", -1)).over(before), F.lit(0.0)),
+            "daysBefore": F.coalesce(F.sum(F.element_at("days", -1)).over(before), F.lit(0)),
+            "until": F.coalesce(
+                F.add_months(F.lead("month").over(by_month), -1), F.greatest("month", F.trunc(through, "month"))
+            ),
+        }
     )
-
-    def slots(before: str, spread: str) -> str:
-        return f"concat(array_repeat({before}, entries[0].day), flatten(transform(entries, e -> {spread})))"
+    months = carried.selectExpr("*", "explode(sequence(month, until, INTERVAL 1 MONTH)) AS at")
 
     def page(field: str, before: str) -> str:
-        filled = slots(f"entries[0].{before}", f"array_repeat(e.{field}, e.span)")
-        return f"IF(month = ownMonth, {filled}, array_repeat(element_at(entries, -1).{field}, {DAY_SLOTS}))"
-
-    until = "coalesce(add_months(trunc(element_at(entries, -1).nextDate, 'month'), -1), greatest(ownMonth, lastMonth))"
-    return months.selectExpr("*", f"explode(sequence(ownMonth, {until}, INTERVAL 1 MONTH)) AS month").selectExpr(
-        *PAIR,
-        "month",
-        f"{page('rateSum', 'sumBefore')} AS sums",
-        f"{page('rateDays', 'daysBefore')} AS days",
-    )
+        last = f"array_repeat({before} + element_at({field}, -1), {DAY_SLOTS})"
+        return f"IF(at = month, transform({field}, x -> {before} + x), {last})"
+
+    return months.selectExpr(*PAIR, "at AS month", f"{page('sums', 'sumBefore')} AS sums", f"{page('days', 'daysBefore')} AS days")
+
+
+def rate_pages(underlying_daily: DataFrame, through: Column) -> DataFrame:
+    """``sums`` and ``days`` of every pair and month, from its first rate to its last or ``through``.
+
+    Slot 0 is the total before the month, slot n the total after its n-th day.
+    """
+    return carried_pages(month_pages(underlying_daily), through)
 
 
 def _look_up(rows: DataFrame, pages: DataFrame, day: str, *values: str) -> DataFrame:
@@ -81,11 +100,16 @@ def with_forward_average(
     """Add to rows of (exchange, asset, date, maturity) the mean rate from that day until maturity.
 
     ``realizedForwardApr`` and ``forwardDaysUsed`` cover the days with a rate in [date, min(maturity, as_of)]:
-    NULL and 0 where there is none or no maturity. Both look-ups ask for the same fields of the pages, so that
-    Spark builds and sends them once.
+    NULL and 0 where there is none or no maturity.
     """
     as_of = as_date(as_of)
-    pages = rate_pages(underlying_daily, as_of)
+    return with_paged_average(rows, rate_pages(underlying_daily, as_of), as_of)
+
+
+def with_paged_average(rows: DataFrame, pages: DataFrame, as_of: Column | dt.date | str | None = None) -> DataFrame:
+    """The same from pages that are kept. Both look-ups ask for the same fields of the pages, so that Spark builds and
+    sends them once."""
+    as_of = as_date(as_of)
     rows = rows.withColumn("forwardEnd", F.when(F.col("maturity").isNotNull(), F.least("maturity", as_of)))
     kept = rows.columns
     rows = _look_up(
@@ -107,3 +131,17 @@ def with_forward_average(
         "coalesce(used, 0) AS forwardDaysUsed",
         "IF(used > 0, (sumThrough - coalesce(sumBefore, 0)) / used, NULL) AS realizedForwardApr",
     )
+
+
+def touched_by(rows: DataFrame, changed: DataFrame, as_of: Column | dt.date | str | None = None) -> DataFrame:
+    """Rows of (exchange, asset, date, maturity) that a change of the rates of ``changed`` (exchange, asset, date) concerns:
+    those whose day, or a day between it and min(maturity, as_of), is among them.
+
+    The changed days of a pair are laid out in pages like rates, so that an interval asks for their count by two look-ups.
+    """
+    days = changed.select(*PAIR, "date").distinct()
+    of_pairs = rows.join(days.select(*PAIR).distinct(), PAIR, "left_semi")
+    counted = with_forward_average(of_pairs, days.withColumn("realizedApr", F.lit(1.0)), as_of)
+    same_day = days.select(*PAIR, "date", F.lit(True).alias("sameDay"))
+    hit = counted.join(same_day, [*PAIR, "date"], "left").where("forwardDaysUsed > 0 OR sameDay")
+    return hit.select(*rows.columns)

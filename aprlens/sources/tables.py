@@ -56,10 +56,11 @@ def read_table(
     return reader.csv(path)
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or None where there is none yet."""
+def read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet. With a ``schema`` no file is opened to find it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

@@ -56,6 +56,19 @@ def test_special_tokens_in_texts_are_as_by_the_library(spark):
     }
 
 
+def test_control_signs_are_as_by_the_library():
+    """Every control sign and blank beside contractions, words, digits and marks, with the library's defaults."""
+    default = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(28)
+    odd = [*map(chr, [*range(0x20), *range(0x7F, 0xA1), 0x1680, 0x2000, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])]
+    signs = [*odd, " ", "\n", "'s", "'re", "a", "Bc", "é", "9", ".", "-", "<|endoftext|>"]
+    texts = [f"{c}'s" for c in odd] + [f"a{c}b {c} 'll" for c in odd]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(4_000)]
+    bpe = Bpe(VOCABULARY, most=100, added=True)
+    found = [array("I", x).tolist() for x in bpe.encode(texts)]
+    assert found == [default.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_codes_give_random_access():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 256, 3000), rng.integers(0, 1 << 17, 3000), [0, 255, 256, 65535, 65536, (1 << 32) - 1]])
