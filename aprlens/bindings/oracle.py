@@ -281,6 +281,19 @@ _add(
   {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume,
   concat('ohlcv/1d/', market, '/', year(date), '.ndjson.zip') AS source_path FROM candles_in""",
 )
+CTES["faulty"] = """
+SELECT CASE WHEN blockNumber % 13 = 0 THEN 'market-data/7-OKX-BTCUSDT-31FEB2024/x.ndjson.zip'
+    ELSE concat('market-data/', market, '/', year(date), '.ndjson.zip') END AS source_path,
+  CASE WHEN blockNumber % 5 = 0 OR blockNumber % 11 = 0 THEN 'line is no JSON object'
+    WHEN blockNumber % 7 = 0 THEN 'timestamp is missing or invalid'
+    WHEN blockNumber % 13 = 0 THEN 'market name holds no valid maturity' END AS reject_reason
+FROM snapshots"""
+_add(
+    "rejected_lines",
+    """SELECT source_path, reject_reason, CAST(count(*) AS BIGINT) AS lines,
+  CAST(count(*) FILTER (reject_reason LIKE 'line%') AS BIGINT) AS kept
+FROM faulty WHERE reject_reason IS NOT NULL GROUP BY 1, 2""",
+)
 _add(
     "table_row_counts",
     " UNION ALL ".join(
@@ -304,6 +317,17 @@ _add(
 )
 _add("underlying_daily", f"SELECT exchange, asset, date, samples, {_r('realizedApr')} AS realizedApr FROM funding_day")
 _add("settlement_daily", f"SELECT {_KEYS}, date, samples, {_r('settlementApr')} AS settlementApr FROM settlement_day")
+for _name in ("market_daily", "underlying_daily", "settlement_daily"):
+    QUERIES[f"{_name}_merged"] = QUERIES[_name]
+CTES["late"] = """
+SELECT DISTINCT exchange, asset, date FROM funding
+WHERE day(date) = 15 AND month(date) % 4 = 0 AND asset IN ('BTC', 'ETH')"""
+_add(
+    "stale_rows",
+    """SELECT DISTINCT b.market, b.date FROM bounded b LEFT JOIN late l ON l.exchange = b.exchange AND l.asset = b.asset
+  AND (l.date = b.date OR l.date BETWEEN b.date AND b.forwardEnd)
+WHERE l.date IS NOT NULL OR b.samples > 2""",
+)
 _add(
     "forward_prefix",
     f"""SELECT exchange, asset, date, {_r('realizedApr')} AS realizedApr, {_r('sum(realizedApr) OVER w')} AS rateSum,
@@ -335,6 +359,7 @@ _RATES = ", ".join(
     )
 )
 _add("apr_comparison", f"SELECT {_KEYS}, date, samples, {_RATES}, forwardDaysUsed FROM comparison")
+QUERIES["apr_comparison_refreshed"] = QUERIES["apr_comparison"]
 
 # --- dashboard
 _STATS = ", ".join(
@@ -476,11 +501,10 @@ _add(
 FROM (SELECT {_asset(_symbol('k'))} AS asset FROM raw_lines)""",
 )
 _add("cross_exchange", f"SELECT asset, exchange, d, maturity, {_r('implied')} AS implied FROM stitched")
-_add(
-    "cross_exchange_wide",
-    f"""SELECT * FROM (PIVOT (SELECT d, exchange, {_r('implied')} AS implied FROM stitched WHERE asset = 'BTC')
-  ON exchange USING max(implied) GROUP BY d)""",
-)
+# The exchanges that markets of this symbol can name; all of them do from sf0.01 on.
+_VENUES_SHOWN = ["Binance", "Hyperliquid", "OKX", "Bybit", "Gate", "KuCoin", "Lighter", "Nova_Dex2X"]
+_COLUMNS = ", ".join(f"""max(CASE WHEN exchange = '{name}' THEN {_r('implied')} END) AS "{name}\"""" for name in _VENUES_SHOWN)
+_add("cross_exchange_wide", f"SELECT d, {_COLUMNS} FROM stitched WHERE asset = 'BTC' GROUP BY d")
 
 # --- charts
 CTES["periods"] = """

@@ -174,6 +174,19 @@ def clean_ohlcv(spark, sf):
     return clean.clean_ohlcv_1d(_as_lines(rows, clean.OHLCV_1D, _market_path("ohlcv/1d"), F.lit("")))
 
 
+@query
+def rejected_lines(spark, sf):
+    """Rejects by archive and reason, of snapshots with planted faults: lines that are no object, no date, no market."""
+    number = F.col("blockNumber")
+    rows = snapshots(spark, sf).select("market", "date", "blockNumber", "midApr", "timestamp")
+    record = F.to_json(F.struct("midApr", F.when(number % 7 != 0, F.col("timestamp")).alias("timestamp")))
+    line = F.when(number % 5 == 0, F.concat(F.lit("line "), number.cast("string"))).when(number % 11 == 0, "[1]").otherwise(record)
+    path = F.when(number % 13 == 0, "market-data/7-OKX-BTCUSDT-31FEB2024/x.ndjson.zip").otherwise(_market_path("market-data"))
+    blocks = rows.select(path.alias("source_path"), line.cast("binary").alias("block"))
+    found = clean.rejected(clean.lines_of(blocks, clean.MARKET_DATA), clean.MARKET_DATA)
+    return found.groupBy("source_path", "reject_reason").agg(F.count(F.lit(1)).alias("lines"), F.count("line").alias("kept"))
+
+
 @query
 def table_row_counts(spark, sf):
     tables = {
@@ -236,6 +249,57 @@ def settlement_daily(spark, sf):
     return daily.settlement_daily(settlements(spark, sf))
 
 
+def _merged_days(kind: daily.DailyTable, batches: list[DataFrame]) -> DataFrame:
+    """The daily table out of the partials of batches, the first two of which were added up before."""
+    parts = [daily.partials(b, kind) for b in batches]
+    kept = daily.added(parts[0].unionByName(parts[1]), kind)
+    return daily.merged(kept.unionByName(parts[2]), kind)
+
+
+@query
+def market_daily_merged(spark, sf):
+    rows = snapshots(spark, sf)
+    return _merged_days(daily.MARKET_DAYS, [rows.where(F.col("blockNumber") % 3 == k) for k in range(3)])
+
+
+@query
+def underlying_daily_merged(spark, sf):
+    rows = funding(spark, sf)
+    third = F.pmod(F.xxhash64("annualizedFundingRate"), F.lit(3))
+    return _merged_days(daily.UNDERLYING_DAYS, [rows.where(third == k) for k in range(3)])
+
+
+@query
+def settlement_daily_merged(spark, sf):
+    rows = settlements(spark, sf)
+    return _merged_days(daily.SETTLEMENT_DAYS, [rows.where(F.col("blockNumber") % 3 == k) for k in range(3)])
+
+
+LATE, ON_TIME = ("day(date) = 15 AND month(date) % 4 = 0", "NOT (day(date) = 15 AND month(date) % 4 = 0)")
+
+
+@query
+def stale_rows(spark, sf):
+    """The comparison's rows that rates of late days concern."""
+    late = funding(spark, sf).where(LATE).where("asset IN ('BTC', 'ETH')")
+    days = daily.market_daily(snapshots(spark, sf))
+    return compare.stale_rows(days, days.where("samples > 2"), late, AS_OF)
+
+
+@query
+def apr_comparison_refreshed(spark, sf):
+    """The comparison as it was before the late days' rates and settlements came, brought up to date."""
+    lines, rates, settled = snapshots(spark, sf), funding(spark, sf), settlements(spark, sf)
+    market_days = daily.market_daily(lines)
+    before = compare.apr_comparison(
+        market_days, daily.underlying_daily(rates.where(ON_TIME)), daily.settlement_rates(settled.where(ON_TIME)), AS_OF
+    )
+    stale = compare.stale_rows(market_days, settled.where(LATE), rates.where(LATE), AS_OF)
+    pages = forward.carried_pages(forward.month_pages(daily.underlying_daily(rates)), tm.as_date(AS_OF))
+    days = (market_days, daily.underlying_daily(rates), daily.settlement_rates(settled))
+    return compare.refreshed(before, stale, *days, AS_OF, pages)
+
+
 @query
 def forward_prefix(spark, sf):
     return forward.forward_prefix(daily.underlying_daily(funding(spark, sf)))
@@ -470,8 +534,10 @@ def filtered_kpis(spark, sf):
 @query
 def drilldown(spark, sf):
     """No market of that name is shown, so the first one shown is drilled into."""
-    chosen = views.select_market(_board(spark, sf), wanted="no-such-market", exchange="Bybit", lens="received")
-    return _series(spark, sf, chosen)
+    chosen = views.select_market(_board(spark, sf), wanted="no-such-market", exchange="Bybit", lens="received").first()
+    # One name: the board of all markets is made once, and the market's days are compared without it.
+    name = spark.createDataFrame([(chosen["market"],)] if chosen else [], "market string")
+    return _series(spark, sf, name)
 
 
 @query

@@ -8,6 +8,8 @@ from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 from aprlens.bindings.queries import REGISTRY
 from tests.check_oracle import compare, connect
 
+WIDER_DIR = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -24,5 +26,8 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_its_sql(spark, con, name):
-    left, right, _ = compare(spark, con, name, SMOKE_DIR)
+    if name == "cross_exchange_wide":  # its columns are the exchanges there are, which the SQL has to name
+        left, right, _ = compare(spark, connect(WIDER_DIR), name, WIDER_DIR)
+    else:
+        left, right, _ = compare(spark, con, name, SMOKE_DIR)
     assert not left and not right
