@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if there
+    is but one machine (master ``local``), else an error: other machines would not see it."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(where)
     return where.rstrip("/")
