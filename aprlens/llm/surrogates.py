@@ -51,15 +51,33 @@ CARD = r"(?<![\p{L}\p{N}.-])(?:\d{13,19}|\d{4}(?<gap>[ -])(?:\d{4}\k<gap>\d{4}\k
 ADDRESS = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])"
 NUMBER = r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 # In quotes a value is all up to the closing quote that has no blank, else all up to a blank, a quote or an angle bracket,
-# but for closing punctuation. One without any letter or digit is a mask, one that is an email is an email.
+# but for closing punctuation. One without any letter or digit is a mask, one that is an email is an email. After a colon
+# a plain word of up to 15 letters, written as prose writes it, is prose.
+_PROSE = r"\s{0,3}\p{L}[\p{Ll}'’-]{0,14}+[.,;:!?)\]}]*+(?:\s|$)"
 ASSIGNED = (
-    r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+    rf"(?<![\p{{L}}\p{{N}}])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{{0,3}}(?:=|:(?!{_PROSE}))\s{{0,3}}"
     rf"(?![\"']?{EMAIL}(?:[\"'\s]|$))(?=[\"']?[^\s\"'\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])"
     r"(?:\"[^\s\"]{8,}+(?=\")|'[^\s']{8,}+(?=')|[\"']?[^\s\"'<>]{7,}[^\s\"'<>.,:;?)\]}])"
 )
-ACCESS = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
+# Keys and tokens with a mark of their issuer, what follows "Bearer", and signed web tokens; the mark stays.
+_ISSUED = r"(?:AKIA(?=[0-9A-Z]{16}$)|gh[pousr]_|github_pat_|xox[abprs]-|[rs]k_live_|AIza|eyJ|(?i:bearer) )"
+ACCESS = (
+    r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|xox[abprs]-[0-9A-Za-z-]{10,}"
+    r"|[rs]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+    r"|(?i:bearer) (?=[^\s]*[0-9])[0-9A-Za-z._~+/-]{20,}+=*)(?![\p{L}\p{N}])"
+)
+PRIVATE = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[0-9A-Za-z+/=\s:,-]{16,}?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_PRIVATE_PARTS = r"(?s)^(-----[^-]+-----)(.*)(-----END [^-]+-----)$"
+_HEXTET = r"[0-9A-Fa-f]{1,4}"
+# In full, or with one run of zeros left out and at least one digit.
+ADDRESS6 = (
+    rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEXTET}:){{7}}{_HEXTET}"
+    rf"|(?=[0-9A-Fa-f:]{{0,38}}[0-9])(?:{_HEXTET}:){{1,6}}(?::{_HEXTET}){{1,6}})(?![\p{{L}}\p{{N}}:])"
+)
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,4})?)(?![\p{L}\p{N}])"
 PERSON = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})"
-ENTITY = "|".join([EMAIL, ASSIGNED, ACCESS, CARD, PHONE, NUMBER, ADDRESS, PERSON])
+ENTITY = "|".join([EMAIL, ASSIGNED, PRIVATE, ACCESS, IBAN, ADDRESS6, CARD, PHONE, NUMBER, ADDRESS, PERSON])
+_WORD = r"\p{L}+(?:['’-](?!s(?!\p{L}))\p{L}+)*"  # without a genitive's ending
 HEX = "0123456789abcdef"
 LAST_ROUND, WIDER = 200, 24  # rounds of drawing again; from WIDER on surrogates grow by two signs, so they never run out
 
@@ -122,6 +140,34 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), part), F.lit(0), lambda a, x: a + x)
 
 
+def _rest_97(text: Column) -> Column:
+    """An account number of digits and letters (A is 10) modulo 97."""
+
+    def read(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.pmod(F.when(c.rlike("[A-Z]"), rest * 100 + letter).otherwise(rest * 10 + c.try_cast("int")), F.lit(97))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), read)
+
+
+def _account(value: Column, digest: Column) -> Column:
+    """Country and length kept, check digits made right."""
+    country, body = F.substring(value, 1, 2), _recast(F.substring(value, F.lit(5), F.length(value) - 4), digest)
+    check = F.lpad((98 - _rest_97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, check, body)
+
+
+def _hex_signs(value: Column, digest: Column) -> Column:
+    """Hex digits replaced, all other signs kept."""
+    signs = F.transform(
+        F.split(value, ""),
+        lambda c, i: F.when(
+            c.rlike("[0-9a-f]"), F.substring(F.lit(HEX), F.pmod(_byte(digest, i) + i, F.lit(16)) + 1, F.lit(1))
+        ).otherwise(c),
+    )
+    return F.array_join(signs, "")
+
+
 def _card(digits: Column, digest: Column) -> Column:
     """First digit kept, last one the check digit."""
     body = F.concat(F.substring(digits, 1, 1), _recast(F.substring(digits, F.lit(2), F.length(digits) - 2), digest))
@@ -161,7 +207,8 @@ def _surrogate(kind: Column, value: Column, draw: Column, digest: Column, key: s
     # Lists of names are short: from the second drawing on a further part is added.
     tail = F.when(script == "cyrillic", F.lower(_pick(STEMS["cyrillic"], _word_number(digest, 17))))
     tail = tail.otherwise(F.lower(_pick(STEMS["latin"], _word_number(digest, 17))))
-    further = F.when(draw > 1, F.concat(tail, F.when(draw > 3, _recast(F.lit("aaa"), digest)).otherwise(F.lit(""))))
+    letters = F.when(script == "cyrillic", F.lit("ааа")).otherwise(F.lit("aaa"))  # of the value's script
+    further = F.when(draw > 1, F.concat(tail, F.when(draw > 3, _recast(letters, digest)).otherwise(F.lit(""))))
     further = F.coalesce(further, F.lit(""))
     return (
         F.when(kind == "email", F.concat(_recast(F.substring_index(value, "@", 1), digest), more, site))
@@ -169,7 +216,10 @@ def _surrogate(kind: Column, value: Column, draw: Column, digest: Column, key: s
         .when(kind == "card", F.concat(_card(value, digest), more))
         .when(kind == "number", F.concat(_recast(value, digest), more))
         .when(kind == "address", F.concat(F.concat_ws(".", *[o.cast("string") for o in octets]), F.when(draw >= WIDER, F.concat(F.lit("-"), more)).otherwise(F.lit(""))))
-        .when(kind == "access", F.concat(F.lit("AKIA"), _recast(F.substring(value, 5, 99), digest), more))
+        .when(kind == "access", _let(F.regexp_extract(value, f"^{_ISSUED}", 0), lambda mark: F.concat(mark, _recast(F.substring(value, F.length(mark) + 1, F.length(value)), digest), more)))
+        .when(kind == "private", F.concat(_recast(value, digest), more))
+        .when(kind == "account", F.concat(_account(value, digest), more))
+        .when(kind == "address6", F.concat(_hex_signs(value, digest), F.when(draw >= WIDER, F.concat(F.lit("-"), more)).otherwise(F.lit(""))))
         .when(kind == "secret", F.concat(_recast(value, digest), more))
         .when(kind == "family", F.concat(family, further))
         .otherwise(F.concat(given, further))
@@ -181,6 +231,9 @@ def _kind(match: Column) -> Column:
     return (
         F.when(match.rlike("^(?:" + EMAIL + ")$"), "email")
         .when(match.rlike("^" + ACCESS + "$"), "access")
+        .when(match.startswith("-----BEGIN "), "private")
+        .when(match.rlike("^" + IBAN + "$"), "account")
+        .when(match.rlike("^" + ADDRESS6 + "$"), "address6")
         .when(match.rlike("^" + ADDRESS + "$"), "address")
         .when(match.rlike("^" + NUMBER + "$"), "number")
         .when(match.rlike("^" + CARD + "$"), "card")
@@ -210,6 +263,8 @@ def _entities_of(match: Column, kind: Column) -> Column:
     family = F.struct(F.lit("family").alias("kind"), F.element_at(words, -1).alias("value"))
     given = F.struct(F.concat(F.lit("given "), gender).alias("kind"), F.get(words, F.lit(1)).alias("value"))
     person = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
+    account = F.translate(match, " ", "")
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
     luhn = F.pmod(_luhn_sum(_digits(match)), F.lit(10)) == 0
     nothing = F.slice(person, 1, 0)
     return (
@@ -218,6 +273,9 @@ def _entities_of(match: Column, kind: Column) -> Column:
         .when(kind == "card", F.when(luhn, one(kind, _digits(match))).otherwise(nothing))
         .when(kind == "number", one(kind, _digits(match)))
         .when(kind.isin("address", "access"), one(kind, match))
+        .when(kind == "address6", one(kind, F.lower(match)))
+        .when(kind == "private", one(kind, F.regexp_extract(match, _PRIVATE_PARTS, 2)))
+        .when(kind == "account", F.when(_rest_97(turned) == 1, one(kind, account)).otherwise(nothing))
         .when(kind == "secret", one(kind, F.regexp_extract(match, _VALUE, 2)))
         .otherwise(person)
     )
@@ -253,6 +311,8 @@ def _replaced(match: Column, redrawn: Column, key: str) -> Column:
             F.when(F.size(found) == 0, match)
             .when(kind.isin("phone", "card", "number"), F.concat(country, _laid(local, digits)))
             .when(kind == "secret", F.concat(F.regexp_extract(match, _VALUE, 1), first))
+            .when(kind == "private", F.concat(F.regexp_extract(match, _PRIVATE_PARTS, 1), first, F.regexp_extract(match, _PRIVATE_PARTS, 3)))
+            .when((kind == "account") & match.contains(" "), F.regexp_replace(first, "(.{4})(?=.)", "$1 "))
             .when(kind == "family", F.concat(title, first))
             .when(F.size(found) == 2, F.concat(title, first, F.lit(" "), F.get(made, F.lit(1))))
             .otherwise(first)
@@ -263,31 +323,49 @@ def _replaced(match: Column, redrawn: Column, key: str) -> Column:
 
 def _settled(entities: DataFrame, key: str) -> DataFrame:
     """``kind``, ``value``, ``draw``, ``made`` of all distinct entities, no two of a kind with one surrogate and none
-    that is itself an entity. Each round draws the later ones of a clash again."""
-    drawn = entities.withColumn("draw", F.lit(0))
-    for _ in range(LAST_ROUND):
-        drawn = kept(drawn.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key)), "drawn")
-        first = drawn.groupBy("kind", "made").agg(F.min(F.struct("draw", "value")).alias("first"), F.count(F.lit(1)).alias("n"))
-        shared = first.where("n > 1").select("kind", "made", F.col("first.value").alias("holder"))
-        taken = entities.select("kind", F.col("value").alias("made"))
-        clashes = drawn.join(shared, ["kind", "made"]).where("value <> holder").select("kind", "value")
-        clashes = clashes.unionByName(drawn.join(taken, ["kind", "made"], "left_semi").select("kind", "value")).distinct()
-        clashes = kept(clashes.withColumn("again", F.lit(1)), "clashes")
-        if clashes.isEmpty():
-            return drawn
-        drawn = drawn.join(clashes, ["kind", "value"], "left")
-        drawn = drawn.select("kind", "value", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
+    that is itself an entity.
+
+    A surrogate that clashes with none is settled and only looked up from then on; a round draws the others again.
+    """
+    taken = entities.select("kind", F.col("value").alias("made"))
+    open_ones, settled = entities, None
+    for draw in range(LAST_ROUND):
+        made = surrogate(F.col("kind"), F.col("value"), F.lit(draw), key)
+        drawn = kept(open_ones.select("kind", "value", F.lit(draw).alias("draw"), made.alias("made")), "drawn")
+        held = taken if settled is None else taken.unionByName(settled.select("kind", "made"))
+        free = drawn.join(held, ["kind", "made"], "left_anti")
+        first = free.groupBy("kind", "made").agg(F.min("value").alias("value"))
+        won = kept(first.select("kind", "value", F.lit(draw).alias("draw"), "made"), "settled")
+        settled = won if settled is None else settled.unionByName(won)
+        open_ones = kept(drawn.select("kind", "value").join(won, ["kind", "value"], "left_anti"), "clashes")
+        if open_ones.isEmpty():
+            return settled
     raise RuntimeError("surrogates still collide")
 
 
+def _told_again(gap: Column, names: Column, surrogates: Column) -> Column:
+    """``gap`` with the words that are among ``names`` replaced, and how many were."""
+
+    def swapped(word: Column) -> Column:
+        at = F.array_position(names, word).cast("int")
+        return F.when(at > 0, F.get(surrogates, at - 1)).otherwise(word)
+
+    words = F.regexp_extract_all(gap, F.lit(_WORD), F.lit(0))
+    woven = F.zip_with(F.split(gap, _WORD, -1), F.transform(words, swapped), lambda rest, new: F.concat(rest, F.coalesce(new, F.lit(""))))
+    hits = F.size(F.filter(words, lambda w: F.array_contains(names, w)))
+    return F.struct(F.array_join(woven, "").alias("text"), hits.cast("long").alias("n"))
+
+
 def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_entities``: how many entities were replaced.
 
-    Emails, phone, card (with a right check digit), identity and access numbers, IPv4 addresses, assigned secrets and
-    names after a form of address are found. Left out are phone numbers after 00, without "+", trunk zero or 3-3-4
+    Emails, phone, card and account numbers (IBAN; both with right check digits), identity numbers, IPv4 and IPv6 addresses,
+    assigned secrets, keys and tokens with their issuer's mark or after "Bearer", private keys, and names after a form of
+    address are found; where such a name stands alone in the same text, as it is written there, it is replaced, too, by the
+    same surrogate. Left out are phone numbers after 00, without "+", trunk zero or 3-3-4
     digits outside North America and with extensions, card numbers in other groups than 4-4-4-4, 4-6-5 and 4-6-4,
-    secrets of fewer than eight signs, those with blanks, what follows a quote or angle bracket inside one, and secrets
-    that no key word with "=" or ":" names. Null texts stay null, texts without entities stay as they are, repeated
+    assigned secrets of fewer than eight signs, those with blanks, what follows a quote or angle bracket inside one, plain
+    words of up to 15 letters after a colon, and secrets that neither key word nor mark names. Null texts stay null, texts without entities stay as they are, repeated
     rows and null ids are kept, columns other than ``text`` are carried whatever their names (those that begin with
     two underscores are reserved, ``n_entities`` is replaced), and an empty table gives an empty result.
     """
@@ -302,11 +380,24 @@ def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
     told = listed.join(again, ["kind", "value"]).groupBy("__doc").agg(F.map_from_entries(F.collect_list(pairs)).alias("__again"))
     told = kept(told.withColumnRenamed("__doc", "__told"), "told")
     rows = docs.join(told, F.col("doc_id").eqNullSafe(F.col("__told")), "left")
-    rows = rows.withColumn("__found", matches)
-    between = F.split(F.col("text"), ENTITY, -1)
+    rows = rows.withColumn("__found", matches).withColumn("__gaps", F.split(F.col("text"), ENTITY, -1))
+    is_name = lambda e: e["kind"].rlike("^(family|given)")
+    persons = F.filter("__found", lambda m: _kind(m) == "person")
+    names = F.array_distinct(F.filter(F.flatten(F.transform(persons, _entities)), is_name))
+    rows = rows.withColumn("__names", F.when(F.size(persons) > 0, names))
+
+    def drawn_for(entity: Column) -> Column:
+        draw = F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws(" ", entity["kind"], entity["value"])), F.lit(0))
+        return surrogate(entity["kind"], entity["value"], draw, key)
+
+    rows = rows.withColumn("__shown", F.transform("__names", drawn_for)).withColumn("__names", F.col("__names.value"))
+    plain = F.transform("__gaps", lambda gap: F.struct(gap.alias("text"), F.lit(0).cast("long").alias("n")))
+    told = F.transform("__gaps", lambda gap: _told_again(gap, F.col("__names"), F.col("__shown")))
+    rows = rows.withColumn("__gaps", F.when(F.size("__names") > 0, told).otherwise(plain))
     swapped = F.transform("__found", lambda m: _replaced(m, F.col("__again"), key))
-    woven = F.zip_with(between, swapped, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    woven = F.zip_with(F.col("__gaps.text"), swapped, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     number = F.aggregate("__found", F.lit(0).cast("long"), lambda n, m: n + F.size(_entities(m)))
+    number = number + F.aggregate("__gaps", F.lit(0).cast("long"), lambda n, gap: n + gap["n"])
     rows = rows.withColumn("text", F.when(F.size("__found") > 0, F.array_join(woven, "")).otherwise(F.col("text")))
     return rows.withColumn("n_entities", F.coalesce(number, F.lit(0))).select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], "n_entities"
