@@ -334,6 +334,16 @@ _add(
   CAST(count(realizedApr) OVER w AS BIGINT) AS rateDays
 FROM funding_day WINDOW w AS (PARTITION BY exchange, asset ORDER BY date ROWS UNBOUNDED PRECEDING)""",
 )
+QUERIES["forward_prefix_by_month"] = QUERIES["forward_prefix"]
+CTES["line_values"] = """
+SELECT market, date, blockNumber, sum(CASE WHEN blockNumber % 10 <> 0 THEN midApr - markApr END) AS diff
+FROM snapshots GROUP BY ALL"""
+_add(
+    "running_line_values",
+    f"""SELECT market, date, blockNumber, {_r('diff')} AS diff, {_r('sum(diff) OVER w')} AS sum,
+  CAST(sum(CASE WHEN diff IS NOT NULL THEN 1 END) OVER w AS BIGINT) AS values
+FROM line_values WINDOW w AS (PARTITION BY market ORDER BY date, blockNumber ROWS UNBOUNDED PRECEDING)""",
+)
 _add(
     "forward_average",
     f"""SELECT b.market, b.date, b.forwardEnd, {_r('f.realizedApr')} AS realizedDailyApr,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import markets as mk
 from ..functions import numeric as nm
 from ..functions import timing as tm
-from ..operators import charts, clean, compare, cross, daily, dashboard, forward, site, views
+from ..operators import charts, clean, compare, cross, daily, dashboard, forward, scan, site, views
 from ..sources import manifest as mf
 from .adapters import AS_OF, KEYS, candles_in, funding, settlements, snapshots, symbol, table, venue
 
@@ -305,6 +305,21 @@ def forward_prefix(spark, sf):
     return forward.forward_prefix(daily.underlying_daily(funding(spark, sf)))
 
 
+@query
+def forward_prefix_by_month(spark, sf):
+    return forward.forward_prefix_by_month(daily.underlying_daily(funding(spark, sf)))
+
+
+@query
+def running_line_values(spark, sf):
+    """Running sums over single lines, not days: every tenth of a market's values is missing."""
+    value = F.when(F.col("blockNumber") % 10 != 0, F.col("midApr") - F.col("markApr"))
+    rows = snapshots(spark, sf).select("market", "date", "blockNumber", value.alias("diff"))
+    rows = rows.groupBy("market", "date", "blockNumber").agg(F.sum("diff").alias("diff"))
+    sums = {"sum": F.col("diff"), "values": F.when(F.col("diff").isNotNull(), 1)}
+    return scan.running_sums(rows, ["market"], ["date", "blockNumber"], F.trunc("date", "month"), sums)
+
+
 @query
 def forward_average(spark, sf):
     days = mk.with_market_columns(snapshots(spark, sf).select("market", "date").distinct())

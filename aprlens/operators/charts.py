@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import finite, smallest_mode
 from ..functions.rates import candle_up, funding_bps
+from .scan import running_sums
 
 # Padding of a value axis, histogram resolution.
 PAD = 0.08
@@ -40,6 +41,13 @@ def settlement_diff(series: DataFrame) -> DataFrame:
     )
 
 
+def running_diff_by_month(diffs: DataFrame, day: str = "d") -> DataFrame:
+    """``market, day, diff`` with the running ``sum`` of each market: NULL where there is no difference. Months are summed
+    apart and carried on, so differences may come at any frequency."""
+    summed = running_sums(diffs, ["market"], [day], F.trunc(day, "month"), {"sum": finite(F.col("diff"))})
+    return summed.withColumn("sum", F.when(finite(F.col("diff")).isNotNull(), F.col("sum")))
+
+
 def padded_domain(df: DataFrame, values: list[Column], by: list[str] | None = None) -> DataFrame:
     """``lo, hi`` around the finite values: padded, widened by 1 when all are equal, [0, 1] when there are none."""
     values = [finite(v) for v in values]

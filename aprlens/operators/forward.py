@@ -16,6 +16,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timing import as_date
+from .scan import running_sums
 
 PAIR = ["exchange", "asset"]
 DAY_SLOTS = 32
@@ -35,6 +36,14 @@ def forward_prefix(underlying_daily: DataFrame) -> DataFrame:
     )
 
 
+def forward_prefix_by_month(underlying_daily: DataFrame) -> DataFrame:
+    """:func:`forward_prefix` for rates of any frequency: months are summed apart and carried on, so that no task needs a
+    whole pair."""
+    rows = underlying_daily.where(F.col("realizedApr").isNotNull()).select(*PAIR, "date", "realizedApr")
+    counted = {"rateSum": F.col("realizedApr"), "rateDays": F.lit(1).cast("long")}
+    return running_sums(rows, PAIR, ["date"], F.trunc("date", "month"), counted)
+
+
 def month_pages(underlying_daily: DataFrame) -> DataFrame:
     """Per pair and month with a rate: totals within the month after each of its days (slot n; slot 0 is zero).
 

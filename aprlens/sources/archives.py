@@ -49,6 +49,40 @@ def list_files(spark: SparkSession, path: str, glob: str = ARCHIVE_GLOB) -> Data
         return spark.createDataFrame([], LISTING_SCHEMA)
 
 
+def _listed(recursive: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folders of ``path`` read one level deep or to the bottom; files are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch["path"].to_pylist(), batch["length"].to_pylist(), strict=True):
+                if length is not None:
+                    yield pa.record_batch([pa.array([path]), pa.array([length], pa.int64())], ["path", "length"])
+                    continue
+                store, base, start = located(path)
+                found = store.get_file_info(fs.FileSelector(start, recursive=recursive, allow_not_found=True))
+                found = [f for f in found if f.type == fs.FileType.File or not recursive]
+                paths = [path[: len(path) - len(start.removeprefix(base))] + f.path.removeprefix(base) for f in found]
+                sizes = [f.size if f.type == fs.FileType.File else None for f in found]
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "length"])
+
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None, levels: int = 2) -> DataFrame:
+    """``path, length`` of every file below ``root``, listed by tasks: the driver names the root only.
+
+    ``levels`` folders deep the folders are dealt anew, below that each is listed to its bottom by one task. For the
+    stores that tasks open themselves; an absent root has no files.
+    """
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    found = spark.createDataFrame([(whole, None)], "path string, length long")
+    for _ in range(levels):
+        found = found.mapInArrow(_listed(False), "path string, length long").repartition(tasks, "path")
+    return found.mapInArrow(_listed(True), "path string, length long")
+
+
 def _member_blocks(handle) -> Iterator[bytes]:
     """Blocks of whole lines of every member that is not a directory."""
     with zipfile.ZipFile(handle) as archive:
@@ -83,11 +117,17 @@ def _store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
     return store, base.rstrip("/")
 
 
-def open_at(path: str) -> pa.NativeFile:
-    """A listed file, for reads by range."""
+def located(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The store of a listed path, what the store's own paths begin with, and the store's own path."""
     scheme, authority, rest = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", path, re.DOTALL).groups()
     store, base = _store(scheme, authority or "")
-    return store.open_input_file(base + rest)
+    return store, base, base + rest
+
+
+def open_at(path: str) -> pa.NativeFile:
+    """A listed file, for reads by range."""
+    store, _, own = located(path)
+    return store.open_input_file(own)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

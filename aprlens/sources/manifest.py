@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .archives import below, list_files
+from .archives import RANGED_STORES, below, list_files, list_tree, scheme_of
 
 MANIFEST_SCHEMA = "path string, size long"
 
@@ -43,9 +43,25 @@ def select_files(
 
 
 def landed_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path below ``root`` and size of every file there; reads the listing, not the files."""
-    relative = below(F.col("path"), root, spark)
-    return list_files(spark, root, "*").select(relative.alias("path"), F.col("length").alias("size"))
+    """Path below ``root`` and size of every file there; reads the listing, not the files. Tasks list the folders where
+    they can open the store themselves, else the driver does."""
+    found = list_tree(spark, root) if scheme_of(spark, root) in RANGED_STORES else list_files(spark, root, "*")
+    return found.select(below(F.col("path"), root, spark).alias("path"), F.col("length").alias("size"))
+
+
+def write_listing(spark: SparkSession, root: str, path: str, batch: int) -> None:
+    """The listing of one moment as a partition of the table at ``path``, in the place of an earlier attempt's."""
+    landed_files(spark, root).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def listing_changes(spark: SparkSession, path: str, before: int, after: int) -> DataFrame:
+    """``path, change, size``: files ``added``, ``removed`` or ``resized`` between two kept listings, of which only these
+    two partitions are read."""
+    listed = spark.read.schema(f"{MANIFEST_SCHEMA}, batch long").parquet(path)
+    old, new = (listed.where(F.col("batch") == b).select("path", F.col("size").alias(n)) for b, n in ((before, "old"), (after, "new")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("resized")
+    met = old.join(new, "path", "full").where("NOT old <=> new")
+    return met.select("path", change.alias("change"), F.coalesce("new", "old").alias("size"))
 
 
 def pending_files(wanted: DataFrame, landed: DataFrame) -> DataFrame:
