@@ -3,6 +3,9 @@
 Pivots part the vectors of a label into cells by nearest pivot. A vector is also sent to every other cell that could
 hold a vector within the radius, as far as the triangle inequality cannot exclude it, so each cell finds all links of
 its own vectors by itself. A cell of any size is cut into blocks, and one task sees one pair of blocks.
+
+A label of any size has pivots, two at least. More are taken for more vectors as long as a sample of the label says that
+a vector is sent to few cells: where the triangle inequality excludes little, more cells would only mean more copies.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import components, kept, least_roots
 
 BLOCK = 2048  # vectors of a cell compared at once with as many others
-CELL = 8192  # vectors for which a label gets one pivot more
+CELL = 1024  # vectors for which a label is offered one pivot more
+MOST_COPIES = 2.5  # cells a vector is sent to on average, itself included; with two pivots they are at most two
+SAMPLE = 64  # vectors of a label, at least, on which that is measured
 MOST_PIVOTS = 16_384  # of all labels together: the bound of what is broadcast; more would only change the speed
 
 
@@ -45,8 +50,28 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "vector", pa.array(out, pa.binary()))
 
 
+def _reach(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each unit vector, and which cells it may have links in."""
+    d2 = np.maximum(2 - 2 * (x @ p.T), 0)
+    d, apart = np.sqrt(d2), np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
+    own, row = d.argmin(1), np.arange(len(x))
+    least = d[row, own][:, None]
+    # Twice the radius is the general bound; the second is the distance to the plane between pivots.
+    near = (d - least <= 2 * radius) & (d2 - least**2 <= 2 * radius * apart[own] + 1e-9)
+    near[row, own] = True
+    return own, near
+
+
+def _enough(sample: np.ndarray, wanted: int, radius: float, most_copies: float) -> np.ndarray:
+    """The first vectors of a label's sample as pivots: two, and twice as many up to ``wanted`` while copies stay few."""
+    count = 2
+    while 2 * count <= min(wanted, len(sample)) and _reach(sample, sample[: 2 * count], radius)[1].sum(1).mean() <= most_copies:
+        count *= 2
+    return sample[:count]
+
+
 def _cells(pivots: dict, radius: float):
-    """Home cell of each vector, and the other cells it may have links in."""
+    """Each vector for its home cell, and for the other cells it may have links in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,16 +82,7 @@ def _cells(pivots: dict, radius: float):
                 if group == "":
                     source.append(at), cell.append(np.zeros(len(at), int)), home.append(np.ones(len(at), bool))
                     continue
-                p = pivots[group]
-                x = _unit(_matrix(batch.column("vector").take(pa.array(at))))
-                d2 = np.maximum(2 - 2 * (x @ p.T), 0)
-                d, apart = np.sqrt(d2), np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
-                own = d.argmin(1)
-                least = d[np.arange(len(at)), own]
-                # Twice the radius is the general bound; the second is the distance to the plane between pivots.
-                near = d - least[:, None] <= 2 * radius
-                near &= d2 - (least**2)[:, None] <= 2 * radius * apart[own] + 1e-9
-                near[np.arange(len(at)), own] = True
+                own, near = _reach(_unit(_matrix(batch.column("vector").take(pa.array(at)))), pivots[group], radius)
                 i, c = np.nonzero(near)
                 source.append(at[i]), cell.append(c), home.append(own[i] == c)
             take = pa.array(np.concatenate(source))
@@ -104,15 +120,20 @@ def _links(threshold: float):
 
 
 def range_join(
-    vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK, cell: int = CELL, most_pivots: int = MOST_PIVOTS
+    vectors: DataFrame,
+    threshold: float = 0.93,
+    block: int = BLOCK,
+    cell: int = CELL,
+    most_pivots: int = MOST_PIVOTS,
+    most_copies: float = MOST_COPIES,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept``: one row per row of ``vectors`` (vec_id, embedding, label).
 
     Rows of equal, non-null label are linked where their cosine reaches ``threshold``. Null vectors, zero vectors and
     vectors with a null or non-finite component link with nothing, nor do vectors of different lengths. Equal vectors
     of a label form one class that is compared once and counts with its number of rows; repeated rows are rows of
-    their own. A null vec_id is never the smallest of a component. ``block``, ``cell`` and ``most_pivots`` change the
-    work, never the result. Other columns are ignored; an empty table gives an empty result.
+    their own. A null vec_id is never the smallest of a component. ``block``, ``cell``, ``most_pivots`` and ``most_copies``
+    change the work, never the result. Labels beyond the ``most_pivots / 2`` largest are one cell each. Other columns are ignored; an empty table gives an empty result.
     """
     radius = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-9
     rows = vectors.select("vec_id", F.col("embedding").alias("_vector"), F.col("label").alias("label"))
@@ -140,23 +161,21 @@ def range_join(
     heads = rows.select("row", "vector").join(classes.select("node", "space", "copies"), F.col("row") == F.col("node"))
     heads = heads.select("node", "space", "copies", "vector")
 
-    sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    sizes = sizes.orderBy(F.desc("n"), "space").limit(most_pivots // 2)
-    shares, left = [], most_pivots
-    for r in sizes.toLocalIterator():  # largest first; at most most_pivots / 2 rows
-        wanted = min(-(-r["n"] // cell), left)
-        if wanted < 2:
-            break
-        left -= wanted
-        shares.append((r["space"], wanted / r["n"]))
-    pivots: dict[str, list] = {}
+    sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.orderBy(F.desc("n"), "space").limit(most_pivots // 2).collect()  # a row per label, that many at most
+    even = most_pivots // max(len(sizes), 1)
+    wanted = {r["space"]: min(max(-(-r["n"] // cell), 2), even) for r in sizes}
+    shares = [(r["space"], min(max(wanted[r["space"]], min(SAMPLE, even)) / r["n"], 1.0)) for r in sizes]
+    sampled: dict[str, list] = {}
     if shares:
         share = heads.sparkSession.createDataFrame(shares, "space string, share double")
         chance = F.pmod(F.xxhash64("node"), F.lit(1 << 24)) / F.lit(1 << 24)
         picked = heads.join(F.broadcast(share), "space").where(chance < F.col("share"))
-        for r in picked.select("space", "vector").limit(most_pivots).collect():
-            pivots.setdefault(r["space"], []).append(bytes(r["vector"]))
-    pivots = {name: _unit(_matrix(pd.Series(p))) for name, p in pivots.items() if len(p) > 1}
+        picked = picked.orderBy(F.xxhash64("node"), "node").limit(most_pivots)
+        for r in picked.select("space", "vector").collect():
+            sampled.setdefault(r["space"], []).append(bytes(r["vector"]))
+    units = {name: _unit(_matrix(pd.Series(v))) for name, v in sampled.items() if len(v) > 1}
+    pivots = {name: _enough(x, wanted[name], radius, most_copies) for name, x in units.items()}
 
     parts = heads.mapInArrow(
         _cells(pivots, radius), "node long, space string, copies long, vector binary, cell int, home boolean"

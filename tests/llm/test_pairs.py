@@ -64,13 +64,27 @@ def test_range_join_equals_all_pairs(spark):
     reach = least_reachable([r[0] for r in rows], links)
     expected = sorted(((r[0], sum(i == k for k, _ in links), c) for i, (r, c) in enumerate(zip(rows, reach, strict=True))), key=str)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, node string, row int")
-    for knobs in ({}, {"block": 9, "cell": 20}, {"block": 30, "cell": 10, "most_pivots": 5}):
+    for knobs in ({}, {"block": 9, "cell": 20}, {"block": 30, "cell": 10, "most_pivots": 5}, {"cell": 4, "most_copies": 99.0}):
         found = embed_dedup.range_join(df, 0.93, **knobs).collect()
         assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=str) == expected
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
     assert embed_dedup.range_join(df.limit(0)).count() == 0
 
 
+def test_pivots_are_taken_while_copies_stay_few():
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scattered = unit(rng.normal(size=(64, 64)))
+    grouped = unit(np.repeat(np.eye(64)[:4], 16, 0) + rng.normal(size=(64, 64)) * 0.001)[rng.permutation(64)]
+    radius = math.sqrt(2 - 2 * 0.93)
+    assert len(embed_dedup._enough(scattered, 32, radius, 2.5)) == 2
+    assert len(embed_dedup._enough(grouped, 32, radius, 2.5)) >= 4
+    own, near = embed_dedup._reach(grouped, grouped[:8], radius)
+    for i in range(64):  # whoever is within the radius is sent to the home cell
+        linked = np.flatnonzero(grouped @ grouped[i] >= 0.93)
+        assert near[linked, own[i]].all()
+
+
 def shingles(text):
     words = WORD.findall(lowered(text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
