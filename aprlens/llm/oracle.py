@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, SHARE, TEMPLATES
+from .licenses import PHRASES, SHARE, SPREAD, TEMPLATES, WHOLE
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -97,18 +97,21 @@ base AS (
   FROM place GROUP BY doc_id
 ),
 template AS (
-  SELECT row_number() OVER () AS t, label, list_distinct(string_split(txt, ' ')) AS tokens
-  FROM (VALUES {_values(TEMPLATES)}) x(label, txt)
+  SELECT *, CASE WHEN len(tokens) < {WHOLE} THEN len(tokens) ELSE ceil({SHARE} * len(tokens) - 1e-9) END AS need,
+    (CASE WHEN len(tokens) < {WHOLE} THEN length ELSE ceil({SPREAD} * length) END)::BIGINT AS span
+  FROM (SELECT row_number() OVER () AS t, label, list_distinct(string_split(txt, ' ')) AS tokens, len(string_split(txt, ' ')) AS length
+    FROM (VALUES {_values(TEMPLATES)}) x(label, txt))
 ),
-line AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({_LOWER}, chr(10))), '{_WORD}')) AS tokens
-  FROM documents
+-- A text without enough of the words has no such block; in the others every run of span words is counted.
+candidate AS (
+  SELECT * FROM (SELECT doc_id, w, list_distinct(w) AS once FROM word) x, template
+  WHERE len(list_intersect(once, tokens)) >= need
 ),
-hit AS (
-  SELECT doc_id, label, len(list_intersect(line.tokens, template.tokens)) / len(template.tokens) AS share
-  FROM line, template
-  WHERE len(list_intersect(line.tokens, template.tokens)) >= ceil({SHARE} * len(template.tokens) - 1e-9)
+block AS (
+  SELECT doc_id, t, label, len(tokens) AS size, need, len(list_intersect(list_distinct(w[i:i + span - 1]), tokens)) AS shared
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - span + 1, 1) + 1)) AS i FROM candidate)
 ),
+hit AS (SELECT doc_id, label, shared / size AS share FROM block WHERE shared >= need),
 added AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM hit GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

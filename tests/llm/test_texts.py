@@ -85,13 +85,17 @@ def test_licenses_equal_plain_python(odd_docs, no_docs):
             places += at
             base |= {label} if at else set()
         labels, score = set(base), 1.0 if places else 0.0
-        for line in text.split("\n"):
-            for label, template in licenses.TEMPLATES:
-                wanted = set(template.split())
-                n = len(wanted & set(word.findall(line)))
-                if n >= math.ceil(licenses.SHARE * len(wanted) - 1e-9):
-                    labels.add(label)
-                    score = max(score, n / len(wanted))
+        for label, template in licenses.TEMPLATES:
+            wanted, length = set(template.split()), len(template.split())
+            whole = len(wanted) < licenses.WHOLE
+            need = len(wanted) if whole else math.ceil(licenses.SHARE * len(wanted) - 1e-9)
+            span = length if whole else math.ceil(licenses.SPREAD * length)
+            if len(wanted & set(words)) < need:
+                continue
+            n = max(len(wanted & set(words[i : i + span])) for i in range(max(len(words) - span + 1, 1)))
+            if n >= need:
+                labels.add(label)
+                score = max(score, n / len(wanted))
         first, last = (min(places), max(places)) if places else (None, None)
         return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
