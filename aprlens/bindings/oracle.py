@@ -427,6 +427,13 @@ _add(
   {_r('quantile_cont(fb, 0.9)')} AS p90, {_r('CASE WHEN count(fb) > 1 THEN stddev_pop(fb) END')} AS basisVol
 FROM series GROUP BY market""",
 )
+_add(
+    "line_percentiles",
+    f"""SELECT asset, {_r('quantile_cont(v, 0.1)')} AS p10, {_r('quantile_cont(v, 0.5)')} AS p50, {_r('quantile_cont(v, 0.9)')} AS p90,
+  {_r('arg_min(v, (-n, v))')} AS mode
+FROM (SELECT {_asset(_symbol('k'))} AS asset, l_extendedprice AS v,
+  count(*) OVER (PARTITION BY {_asset(_symbol('k'))}, l_extendedprice) AS n FROM named_lines) GROUP BY asset""",
+)
 _add("settlement_mode", "SELECT market, mode_ss AS settlementSamplesPerDay FROM modes")
 _add(
     "volume_stats",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import markets as mk
 from ..functions import numeric as nm
 from ..functions import timing as tm
-from ..operators import charts, clean, compare, cross, daily, dashboard, forward, scan, site, views
+from ..operators import charts, clean, compare, cross, daily, dashboard, forward, order, scan, site, views
 from ..sources import manifest as mf
 from .adapters import AS_OF, KEYS, candles_in, funding, settlements, snapshots, symbol, table, venue
 
@@ -135,7 +135,8 @@ def epoch_fields(spark, sf):
 
 
 def _as_lines(df: DataFrame, dataset: clean.Dataset, path: Column, datetime: Column) -> DataFrame:
-    """Rows written as the JSON lines an archive holds, and read back."""
+    """Rows written as the JSON lines an archive holds, and read back; spread first, as a table may lie in one row group."""
+    df = df.repartition(*df.columns)
     have = [c for c in df.columns if c in (*dataset.number_fields, *dataset.texts)]
     record = F.to_json(F.struct(*have, datetime.alias("datetime")))
     return clean.lines_of(df.select(path.alias("source_path"), record.cast("binary").alias("block")), dataset)
@@ -436,6 +437,15 @@ def basis_percentiles(spark, sf):
     )
 
 
+@query
+def line_percentiles(spark, sf):
+    """Percentiles and the mode of single lines' open interest by asset: groups no calendar bounds."""
+    rows = mk.with_market_columns(snapshots(spark, sf).select("market", "notionalOI"))
+    counts = order.value_counts(rows, ["asset"], F.col("notionalOI"))
+    points = order.percentiles(counts, ["asset"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return points.join(order.modes(counts, ["asset"]), "asset")
+
+
 @query
 def settlement_mode(spark, sf):
     return _series(spark, sf).groupBy("market").agg(nm.smallest_mode(F.col("ss")).alias("settlementSamplesPerDay"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ..operators import charts, clean, compare, cross, daily, dashboard, site, views
 from ..sources.manifest import landed_files, pending_files, read_manifest, select_files, transfer_summary
 from ..sources.payload import require_finite, write_payload
-from ..sources.tables import read_table, write_table
+from ..sources.tables import read_table, write_sorted, write_table
 
 # Names of the clean tables.
 CLEAN_TABLES = {
@@ -76,22 +76,23 @@ def daily_tables(
     def stored(name: str) -> DataFrame:
         return read_table(spark, f"{out}/{name}", fmt, CLEAN_TABLES[name].types)
 
-    write_table(daily.market_daily(stored("market_data")), f"{out}/market_daily_apr")
-    write_table(daily.underlying_daily(stored("underlying_apr")), f"{out}/underlying_daily_apr")
-    write_table(daily.settlement_daily(stored("settlement")), f"{out}/settlement_daily_apr")
+    by_market, by_pair = ["market", "date"], ["exchange", "asset", "date"]
+    write_sorted(daily.market_daily(stored("market_data")), f"{out}/market_daily_apr", by_market)
+    write_sorted(daily.underlying_daily(stored("underlying_apr")), f"{out}/underlying_daily_apr", by_pair)
+    write_sorted(daily.settlement_daily(stored("settlement")), f"{out}/settlement_daily_apr", by_market)
     days = [read_table(spark, f"{out}/{n}_daily_apr") for n in ("market", "underlying", "settlement")]
-    write_table(compare.apr_comparison(*days, as_of=as_of), f"{out}/apr_comparison_daily")
+    write_sorted(compare.apr_comparison(*days, as_of=as_of), f"{out}/apr_comparison_daily", by_market)
 
 
 def dashboard_tables(spark: SparkSession, out: str) -> None:
     """Write market summaries, heat map with shades, bounds and series of the dashboard."""
     comparison = read_table(spark, f"{out}/apr_comparison_daily")
-    write_table(dashboard.market_summary(comparison), f"{out}/market_summary")
+    write_table(dashboard.ranked_summary(dashboard.market_summary(comparison)), f"{out}/market_summary")
     summary = read_table(spark, f"{out}/market_summary")
-    write_table(dashboard.heatmap(summary), f"{out}/heatmap")
+    write_sorted(dashboard.heatmap(summary), f"{out}/heatmap", ["exchange", "asset"])
     write_table(dashboard.heat_intensity(read_table(spark, f"{out}/heatmap")), f"{out}/heat_intensity")
     write_table(dashboard.dashboard_bounds(summary), f"{out}/dashboard_bounds")
-    write_table(require_finite(dashboard.market_series(comparison)), f"{out}/market_series")
+    write_sorted(require_finite(dashboard.market_series(comparison)), f"{out}/market_series", ["market", "date"])
 
 
 def site_tables(spark: SparkSession, out: str, fmt: str = "parquet", matured_only: bool = False) -> None:
@@ -101,10 +102,11 @@ def site_tables(spark: SparkSession, out: str, fmt: str = "parquet", matured_onl
     funding = read_table(spark, f"{out}/underlying_daily_apr")
     ohlcv = read_table(spark, f"{out}/ohlcv_1d", fmt, clean.OHLCV_1D.types)
 
-    write_table(site.compact_series(site.with_settlement_samples(comparison, settled)), f"{out}/site_series")
-    write_table(site.candle_series(ohlcv), f"{out}/site_candles")
+    series = site.compact_series(site.with_settlement_samples(comparison, settled))
+    write_sorted(series, f"{out}/site_series", ["market", "d"])
+    write_sorted(site.candle_series(ohlcv), f"{out}/site_candles", ["market", "d"])
     series, candles = read_table(spark, f"{out}/site_series"), read_table(spark, f"{out}/site_candles")
-    write_table(site.site_summary(series, candles, matured_only=matured_only), f"{out}/site_summary")
+    write_sorted(site.site_summary(series, candles, matured_only=matured_only), f"{out}/site_summary", ["market"])
     write_table(site.site_bounds(series), f"{out}/site_bounds")
     summary = read_table(spark, f"{out}/site_summary")
     write_payload(site.market_payload(summary, series, candles), f"{out}/site_markets_json")
