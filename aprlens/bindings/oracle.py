@@ -468,6 +468,7 @@ _BOARD = (
     + ", ".join(f"{_r(c)} AS {c}" for c in ("gapSum", "avgImplied", "avgRealizedForward", "avgForwardBasis"))
 )
 _add("gap_sum", f"SELECT {_BOARD} FROM board")
+QUERIES["gap_board_merged"] = QUERIES["gap_sum"]
 _add(
     "gap_label",
     f"""SELECT market, {_r('avgForwardBasis')} AS avgForwardBasis,

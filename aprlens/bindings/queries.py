@@ -510,6 +510,12 @@ def gap_sum(spark, sf):
     return _board(spark, sf)
 
 
+@query
+def gap_board_merged(spark, sf):
+    """The board out of partial sums by month."""
+    return views.board_of(views.gap_partials(_comparison(spark, sf)))
+
+
 @query
 def gap_label(spark, sf):
     return views.with_gap_label(_board(spark, sf)).select("market", "avgForwardBasis", "gapLabel", "gapClass")

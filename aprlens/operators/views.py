@@ -30,6 +30,26 @@ def market_board(series: DataFrame) -> DataFrame:
     )
 
 
+# What the board is made of, by column of the comparison.
+_MEANS = {"avgImplied": "impliedApr", "avgRealizedForward": "realizedForwardApr", "avgForwardBasis": "forwardBasisApr"}
+
+
+def gap_partials(comparison: DataFrame) -> DataFrame:
+    """Per market and month the sums and counts the board is made of: kept, they spare it the comparison."""
+    sums = [F.sum(finite(F.col("forwardBasisApr"))).alias("gapSum")]
+    for name, column in _MEANS.items():
+        value = finite(F.col(column))
+        sums += [F.sum(value).alias(f"{name}Sum"), F.count(value).alias(f"{name}Count")]
+    return comparison.groupBy("market", F.trunc("date", "month").alias("month")).agg(*sums)
+
+
+def board_of(partials: DataFrame) -> DataFrame:
+    """:func:`market_board` of all days behind ``partials``."""
+    means = [(F.sum(f"{n}Sum") / F.nullif(F.sum(f"{n}Count"), F.lit(0))).alias(n) for n in _MEANS]
+    board = partials.groupBy("market").agg(F.sum("gapSum").alias("gapSum"), *means)
+    return with_market_columns(board).select("market", "exchange", "asset", "maturity", "gapSum", *_MEANS)
+
+
 def with_gap_label(board: DataFrame) -> DataFrame:
     gap = F.col("avgForwardBasis")
     return board.withColumns({"gapLabel": gap_label(gap), "gapClass": gap_class(gap)})

@@ -1,4 +1,4 @@
-"""Keeps clean tables, daily tables, rate pages and the comparison up to date as archives arrive.
+"""Keeps clean tables, daily tables, rate pages, the comparison and the gap board up to date as archives arrive.
 
 An update costs what arrived, not what is there. New archives become a batch of clean lines; a batch is reduced to partial
 sums per key and day, which are kept by month and batch; only months with new partials are merged again. A late day of
@@ -17,7 +17,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timing import as_date
-from ..operators import compare, daily, forward
+from ..operators import compare, daily, forward, views
 from ..sources.tables import MONTH, month_of, read_months, read_or_none, write_months, write_table
 from ..streaming import ingest
 from .pipeline import CLEAN_TABLES, Counts
@@ -156,6 +156,8 @@ def _update_comparison(
         old = old.where(F.col(MONTH).isin(months)).drop(MONTH)
         fresh = compare.refreshed(old, stale, *days, today.isoformat(), pages)
     write_months(fresh, f"{out}/{COMPARISON}", ["market", "date"])
+    gaps = views.gap_partials(read_months(spark, f"{out}/{COMPARISON}", months))
+    write_months(gaps, f"{out}/gap_partials", ["market"], day=MONTH)
     return months
 
 
@@ -166,6 +168,18 @@ def update(
     return ingest_new(spark, raw_root, out, strict), apply_new(spark, out, as_of)
 
 
+def gap_board(spark: SparkSession, out: str) -> DataFrame:
+    """The market board, from a row per market and month."""
+    return views.board_of(spark.read.parquet(f"{out}/gap_partials"))
+
+
+def drilldown(spark: SparkSession, out: str, wanted: str | None = None, **filters) -> DataFrame:
+    """The comparison's days of the market that the filters of the board choose: its file ranges alone are read."""
+    chosen = views.select_market(gap_board(spark, out), wanted, **filters).first()
+    days = spark.read.parquet(f"{out}/{COMPARISON}").drop(MONTH)
+    return days.where(F.col("market") == chosen["market"]) if chosen else days.limit(0)
+
+
 def clean_table(spark: SparkSession, out: str, name: str) -> DataFrame:
     return ingest.accepted_lines(spark, CLEAN_TABLES[name], f"{out}/{name}")
 

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from aprlens.operators import compare, daily, forward
+from aprlens.operators import compare, daily, forward, views
 from aprlens.plans import incremental, pipeline
 from aprlens.sources import tables
 from aprlens.streaming import ingest
@@ -73,6 +73,13 @@ def test_updates_equal_a_whole_run(spark, tmp_path):
     for name, expected in whole_run(spark, str(raw), str(tmp_path / "whole")).items():
         found = tables.read_months(spark, f"{out}/{name}")
         assert rounded(found.select(*expected.columns)) == rounded(expected), name
+    series = expected.select("market", F.col("forwardBasisApr").alias("fb"), F.col("impliedApr").alias("i"), F.col("realizedForwardApr").alias("rf"))
+    board = incremental.gap_board(spark, out)
+    assert name == "apr_comparison_daily" and rounded(board) == rounded(views.market_board(series))
+    drilled = incremental.drilldown(spark, out, wanted="none", exchange="Bybit")
+    assert {r["market"] for r in drilled.collect()} == {MARKETS[2]}
+    plan = drilled._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(market), EqualTo(market" in plan and "Join" not in plan
     assert incremental.update(spark, str(raw), out, AS_OF)[1]["apr_comparison_daily"] == []
     reasons = rows_of(incremental.all_rejected(spark, out).groupBy("name", "reject_reason").count())
     assert sorted(reasons) == [("market_data", "line is no JSON object", 3), ("market_data", "timestamp is missing or invalid", 3)]
