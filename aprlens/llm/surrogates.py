@@ -350,10 +350,13 @@ def _told_again(gap: Column, names: Column, surrogates: Column) -> Column:
         at = F.array_position(names, word).cast("int")
         return F.when(at > 0, F.get(surrogates, at - 1)).otherwise(word)
 
-    words = F.regexp_extract_all(gap, F.lit(_WORD), F.lit(0))
-    woven = F.zip_with(F.split(gap, _WORD, -1), F.transform(words, swapped), lambda rest, new: F.concat(rest, F.coalesce(new, F.lit(""))))
-    hits = F.size(F.filter(words, lambda w: F.array_contains(names, w)))
-    return F.struct(F.array_join(woven, "").alias("text"), hits.cast("long").alias("n"))
+    def told(words: Column) -> Column:
+        rest = F.split(gap, _WORD, -1)
+        woven = F.zip_with(rest, F.transform(words, swapped), lambda r, new: F.concat(r, F.coalesce(new, F.lit(""))))
+        hits = F.size(F.filter(words, lambda w: F.array_contains(names, w)))
+        return F.struct(F.array_join(woven, "").alias("text"), hits.cast("long").alias("n"))
+
+    return _let(F.regexp_extract_all(gap, F.lit(_WORD), F.lit(0)), told)
 
 
 def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
@@ -380,7 +383,9 @@ def with_surrogates(docs: DataFrame, key: str = "corpus") -> DataFrame:
     told = listed.join(again, ["kind", "value"]).groupBy("__doc").agg(F.map_from_entries(F.collect_list(pairs)).alias("__again"))
     told = kept(told.withColumnRenamed("__doc", "__told"), "told")
     rows = docs.join(told, F.col("doc_id").eqNullSafe(F.col("__told")), "left")
-    rows = rows.withColumn("__found", matches).withColumn("__gaps", F.split(F.col("text"), ENTITY, -1))
+    # Texts without a match are not searched a second time.
+    between = F.when(F.size("__found") > 0, F.split(F.col("text"), ENTITY, -1))
+    rows = rows.withColumn("__found", matches).withColumn("__gaps", between)
     is_name = lambda e: e["kind"].rlike("^(family|given)")
     persons = F.filter("__found", lambda m: _kind(m) == "person")
     names = F.array_distinct(F.filter(F.flatten(F.transform(persons, _entities)), is_name))
