@@ -583,3 +583,12 @@ _add(
     f"""SELECT market, d, {_OHLCV}, CASE WHEN o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL THEN c >= o END AS up,
   {_r('v / greatest(max(v) OVER (PARTITION BY market), 1)')} AS volumeShare FROM candle_rows""",
 )
+_add(
+    "candle_days",
+    f"""SELECT market, d, {_OHLCV}, "at" FROM (
+  SELECT market, d, first(o ORDER BY "at") AS o, max(h) AS h, min(l) AS l, last(c ORDER BY "at") AS c, sum(v) AS v, min("at") AS "at"
+  FROM (SELECT market, date AS d, midApr AS o, bestAsk AS h, bestBid AS l, markApr AS c, notionalOI AS v, blockNumber AS "at"
+    FROM snapshots QUALIFY row_number() OVER (PARTITION BY market, date, blockNumber
+      ORDER BY v DESC NULLS LAST, c DESC NULLS LAST, h DESC NULLS LAST, l DESC NULLS LAST, o DESC NULLS LAST) = 1)
+  GROUP BY market, d)""",
+)

@@ -456,6 +456,14 @@ def volume_stats(spark, sf):
     return site.volume_stats(_candles(spark, sf))
 
 
+@query
+def candle_days(spark, sf):
+    """Single lines as candles within a day, made one a market and day; lines of one order are states of one candle."""
+    lines = snapshots(spark, sf).withColumnsRenamed({"midApr": "open", "bestAsk": "high", "bestBid": "low"})
+    lines = lines.withColumnsRenamed({"markApr": "close", "notionalOI": "volume", "blockNumber": "periodStartTimestamp"})
+    return site.daily_candles(site.candle_series(lines))
+
+
 @query
 def compact_series(spark, sf):
     return _series(spark, sf)

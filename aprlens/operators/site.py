@@ -16,6 +16,7 @@ from ..functions.numeric import (
     spread,
 )
 from ..functions.timing import days_between
+from ..sources.payload import write_nested
 
 SERIES_FIELDS = ["d", "i", "rd", "rf", "db", "fb", "s", "ls", "n", "fd", "ss"]
 CANDLE_FIELDS = ["d", "o", "h", "l", "c", "v"]
@@ -68,6 +69,28 @@ def candle_series(ohlcv: DataFrame) -> DataFrame:
     )
 
 
+def daily_candles(candles: DataFrame) -> DataFrame:
+    """One candle per market and day out of :func:`candle_series` of any interval.
+
+    Candles of one market and ``at`` are states of the same one, which only grows: that with the largest volume stays,
+    equal ones by close, high, low and open. Those left of a day become one: opening of the first, close of the last,
+    highest, lowest, total volume. A missing ``at`` is before all others; missing values add nothing. Tasks reduce both
+    steps before they send rows.
+    """
+    values = ["v", "c", "h", "l", "o"]
+    states = candles.groupBy("market", "d", "at").agg(F.max(F.struct(*values)).alias("best"))
+    states = states.select("market", "d", "at", "best.*")
+    place = F.struct("at")
+    return states.groupBy("market", "d").agg(
+        F.min_by("o", place).alias("o"),
+        F.max("h").alias("h"),
+        F.min("l").alias("l"),
+        F.max_by("c", place).alias("c"),
+        F.sum("v").alias("v"),
+        F.min("at").alias("at"),
+    )
+
+
 def underlying_series(underlying_daily: DataFrame) -> DataFrame:
     return underlying_daily.select(
         F.concat_ws("|", F.coalesce("exchange", F.lit("")), F.coalesce("asset", F.lit(""))).alias("pair"),
@@ -188,7 +211,8 @@ def site_bounds(series: DataFrame) -> DataFrame:
 def market_payload(summary: DataFrame, series: DataFrame, candles: DataFrame) -> DataFrame:
     """One row per market: its summary, its days and its candles, both sorted by day.
 
-    The arrays hold one entry per calendar day of one market; no value spans markets.
+    The arrays hold one entry per calendar day of one market; no value spans markets. :func:`write_market_payload`
+    writes the same without ever holding an array.
     """
     days = series.groupBy("market").agg(F.sort_array(F.collect_list(F.struct(*SERIES_FIELDS))).alias("series"))
     ohlcv = candles.groupBy("market").agg(F.sort_array(F.collect_list(F.struct(*CANDLE_FIELDS))).alias("ohlcv"))
@@ -201,6 +225,14 @@ def market_payload(summary: DataFrame, series: DataFrame, candles: DataFrame) ->
     )
 
 
-def underlying_payload(series: DataFrame) -> DataFrame:
-    """One row per pair with its rates by day."""
-    return series.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("d", "r"))).alias("rates"))
+def write_market_payload(summary: DataFrame, series: DataFrame, candles: DataFrame, path: str) -> None:
+    """JSON lines as :func:`market_payload` has them, for markets of any number of days and candles; a market is in
+    them if it has a summary."""
+    heads = summary.select("market", F.struct(*SUMMARY_FIELDS).alias("summary"))
+    lists = {"series": series.select("market", *SERIES_FIELDS), "ohlcv": candles.select("market", *CANDLE_FIELDS)}
+    write_nested(heads, lists, "d", path)
+
+
+def write_underlying_payload(series: DataFrame, path: str) -> None:
+    """A JSON line per pair with its rates by day."""
+    write_nested(series.select("pair").distinct(), {"rates": series.select("pair", "d", "r")}, "d", path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from ..operators import charts, clean, compare, cross, daily, dashboard, site, views
 from ..sources.manifest import landed_files, pending_files, read_manifest, select_files, transfer_summary
-from ..sources.payload import require_finite, write_payload
+from ..sources.payload import require_finite
 from ..sources.tables import read_table, write_sorted, write_table
 
 # Names of the clean tables.
@@ -104,13 +104,13 @@ def site_tables(spark: SparkSession, out: str, fmt: str = "parquet", matured_onl
 
     series = site.compact_series(site.with_settlement_samples(comparison, settled))
     write_sorted(series, f"{out}/site_series", ["market", "d"])
-    write_sorted(site.candle_series(ohlcv), f"{out}/site_candles", ["market", "d"])
+    write_sorted(site.daily_candles(site.candle_series(ohlcv)), f"{out}/site_candles", ["market", "d"])
     series, candles = read_table(spark, f"{out}/site_series"), read_table(spark, f"{out}/site_candles")
     write_sorted(site.site_summary(series, candles, matured_only=matured_only), f"{out}/site_summary", ["market"])
     write_table(site.site_bounds(series), f"{out}/site_bounds")
     summary = read_table(spark, f"{out}/site_summary")
-    write_payload(site.market_payload(summary, series, candles), f"{out}/site_markets_json")
-    write_payload(site.underlying_payload(site.underlying_series(funding)), f"{out}/site_underlying_json")
+    site.write_market_payload(summary, series, candles, f"{out}/site_markets_json")
+    site.write_underlying_payload(site.underlying_series(funding), f"{out}/site_underlying_json")
 
     write_table(views.market_board(series), f"{out}/market_board")
     write_table(charts.settlement_diff(series), f"{out}/settlement_diff")

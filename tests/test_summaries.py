@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from aprlens.operators import charts, cross, dashboard, site, views
-from aprlens.sources.payload import write_payload
+from aprlens.sources.payload import nested_text, write_nested, write_payload
 from aprlens.sources.tables import read_table
 from tests.conftest import rows_of
 
@@ -104,6 +106,69 @@ def test_payload_nests_days_and_candles(spark, small, day, tmp_path):
     assert back[0].summary.rows == 4
 
 
+def test_streamed_payload_equals_the_nested_one(spark, small, day, tmp_path):
+    rows = [(A, "2025-01-02", 1.0, 2.0, 5.0), (A, "2025-01-01", 1.0, 0.5, None), ("no-such-market", "2025-01-01", 1.0, 1.0, 1.0)]
+    candles = site.candle_series(candle_rows(spark, day, rows))
+    series = site.compact_series(small)
+    summary = site.site_summary(series, candles)
+    write_payload(site.market_payload(summary, series, candles), str(tmp_path / "p"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # pieces end inside objects
+    try:
+        site.write_market_payload(summary, series, candles, str(tmp_path / "q"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = {}
+    for name in "pq":
+        files = sorted((tmp_path / name).glob("part-*"))
+        lines[name] = [json.loads(line) for f in files for line in f.read_text().splitlines()]
+    assert lines["q"] == lines["p"] and [x["market"] for x in lines["q"]] == [A, B, C]
+    back = read_table(spark, str(tmp_path / "q"), "json")
+    assert sorted(r.market for r in back.collect()) == [A, B, C]
+
+
+def test_streamed_payload_sorts_once_and_gathers_nothing(spark, small):
+    series = site.compact_series(small)
+    text = nested_text(series.select("market").distinct(), {"days": series.select("market", "d", "i")}, "d")
+    plan = text._jdf.queryExecution().toString().lower()
+    assert "collect_list" not in plan and "rangepartitioning" in plan
+    assert plan.split("== physical plan ==")[1].count("rangepartitioning") == 1
+
+
+def test_streamed_payload_edges(spark, tmp_path):
+    heads = spark.createDataFrame([("b", 1.0), ("a", None), (None, 2.0)], "k string, x double")
+    rows = spark.createDataFrame([("b", 2, "]},\n"), ("b", None, None), ("b", 2, "]},\n"), ("z", 1, "no")], "k string, d int, t string")
+    none = rows.where("false")
+    write_nested(heads, {"one": none, "two": rows, "three": none}, "d", str(tmp_path / "p"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "p").glob("part-*")) for x in f.read_text().splitlines()]
+    same = {"d": 2, "t": "]},\n"}
+    assert lines == [
+        {"k": None, "x": 2.0, "one": [], "two": [], "three": []},
+        {"k": "a", "x": None, "one": [], "two": [], "three": []},
+        {"k": "b", "x": 1.0, "one": [], "two": [{"d": None, "t": None}, same, same], "three": []},
+    ]
+    write_nested(heads.where("false"), {"one": rows}, "d", str(tmp_path / "q"))
+    assert read_table(spark, str(tmp_path / "q"), "text").count() == 0
+    with pytest.raises(Exception, match="two objects"):
+        write_nested(heads.unionByName(heads), {"one": rows}, "d", str(tmp_path / "r"))
+    bad = spark.createDataFrame([("b", 1, float("nan"))], "k string, d int, y double")
+    with pytest.raises(Exception, match="not finite"):
+        write_nested(heads, {"one": bad}, "d", str(tmp_path / "s"))
+
+
+def test_candles_of_a_day_become_one(spark, day):
+    d = day("2025-01-01")
+    rows = [
+        (A, d, 1.0, 3.0, 0.5, 2.0, 4.0, 10), (A, d, 1.0, 2.0, 0.8, 1.5, 3.0, 10),  # two states of one candle
+        (A, d, 2.0, 2.5, 0.4, 2.2, None, 20), (A, d, 9.0, None, None, None, 1.0, None), (B, d, 1.0, 1.0, 1.0, 1.0, 1.0, 5),
+    ]
+    df = spark.createDataFrame(rows, "market string, d date, o double, h double, l double, c double, v double, at long")
+    out = {r.market: tuple(r)[2:] for r in site.daily_candles(df).collect()}
+    assert out == {A: (9.0, 3.0, 0.4, 2.2, 5.0, 10), B: (1.0, 1.0, 1.0, 1.0, 1.0, 5)}
+    again = site.daily_candles(df.unionByName(df))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, site.daily_candles(df).collect()))
+    assert site.daily_candles(df.where("false")).count() == 0
+
+
 def test_payload_refuses_nan(spark, tmp_path):
     df = spark.createDataFrame([("a", [(1.0,), (float("nan"),)])], "k string, xs array<struct<x double>>")
     with pytest.raises(Exception, match="not finite"):
