@@ -6,6 +6,7 @@ line break. Texts with other white space, with runs of it or with the content of
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -127,3 +128,10 @@ class Bpe:
 def encoder(path: str) -> Bpe:
     """One per worker process, kept between tasks; with the library's defaults."""
     return Bpe(path, added=True)
+
+
+def release() -> None:
+    """Gives back what :func:`encoder` kept, when a task of another operator begins in the same worker."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # the tables and their encoder name each other

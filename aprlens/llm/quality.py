@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import release
 from .words import Scan, text_parts
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -175,6 +176,7 @@ STATISTICS_SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double"
 
 def _scan_batches(forest: Forest | None, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, texts in text_parts(batch.column("_text")):
                 c = counts(texts)

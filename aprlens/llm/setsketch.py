@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import release
 from .shared import components, kept, least_roots
 from .words import LOWER, Scan, mixed, text_parts
 
@@ -80,6 +81,7 @@ def _batched(emit):
     """An Arrow task that hands bounded runs of texts to ``emit`` and appends its arrays to the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             other = [n for n in batch.schema.names if n != "_text"]
             for part, texts in text_parts(batch.column("_text")):
