@@ -443,7 +443,8 @@ def line_percentiles(spark, sf):
     rows = mk.with_market_columns(snapshots(spark, sf).select("market", "notionalOI"))
     counts = order.value_counts(rows, ["asset"], F.col("notionalOI"))
     points = order.percentiles(counts, ["asset"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    return points.join(order.modes(counts, ["asset"]), "asset")
+    modes = order.modes(counts, ["asset"]).withColumnRenamed("asset", "_asset")
+    return points.join(modes, F.col("asset").eqNullSafe(F.col("_asset"))).drop("_asset")
 
 
 @query

@@ -30,3 +30,16 @@ def test_percentiles_and_modes_equal_the_aggregates(spark, blocks):
             assert found[r["k"]] == pytest.approx(tuple(r["points"])) and mode[r["k"]] == r["mode"]
     whole = order.percentiles(order.value_counts(df, [], F.col("x")), [], {"p50": 0.5}, blocks).collect()
     assert whole[0]["p50"] == pytest.approx(df.agg(numeric.quantiles(F.col("x"), [0.5])).first()[0][0])
+
+
+def test_rows_are_counted_once_for_percentiles_and_modes(spark, tmp_path):
+    from aprlens.bindings import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows reuse before it runs
+    try:
+        plan = queries.line_percentiles(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("FileScan") == 1
