@@ -20,7 +20,7 @@ REGISTRY: dict[str, Query] = {}
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals and -0.0 to 0.0, so that two engines print the same number."""
-    return df.selectExpr(*[f"round({c}, 6) + 0.0D AS {c}" if kind == "double" else c for c, kind in df.dtypes])
+    return df.selectExpr(*[f"{nm.rounded_text(c)} + 0.0D AS {c}" if kind == "double" else c for c, kind in df.dtypes])
 
 
 def query(function: Query) -> Query:

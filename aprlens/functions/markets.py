@@ -65,9 +65,9 @@ def _lookup(entries: dict[str, str], key: str) -> str:
 
 def title_case(text: str) -> str:
     """Upper-case every letter that does not follow a letter, lower-case the rest."""
-    letters = f"split({text}, '')"
-    starts_word = f"i = 0 OR NOT get({letters}, i - 1) RLIKE '{LETTER}'"
-    return f"array_join(transform({letters}, (c, i) -> IF({starts_word}, upper(c), lower(c))), '')"
+    starts_word = f"i = 0 OR NOT get(letters, i - 1) RLIKE '{LETTER}'"
+    titled = f"array_join(transform(letters, (c, i) -> IF({starts_word}, upper(c), lower(c))), '')"
+    return f"transform(array(split({text}, '')), letters -> {titled})[0]"  # cut into letters once, not for each letter
 
 
 def exchange_name(venue: str) -> str:
@@ -97,7 +97,7 @@ def with_market_columns(df: DataFrame) -> DataFrame:
     They depend on the name alone, so aggregating jobs group by ``market`` and call this on the result. The
     pattern is matched once; the first two parts hold no dash, so the rest are cut out by position. The
     generator keeps Spark from moving a later filter on these columns, with the whole of their derivation,
-    below the aggregate onto the raw rows.
+    below the aggregate onto the raw rows. It is handed finished columns: what stands inside it is not compiled.
     """
     kept = [f"`{c}`" for c in df.columns if c not in MARKET_COLUMNS]
     cut = "length(market_id) + length(venue) + 2"
@@ -118,9 +118,14 @@ def with_market_columns(df: DataFrame) -> DataFrame:
         )
         .selectExpr(
             *kept,
-            f"explode(array(struct(market_id, venue, {exchange_name('venue')} AS exchange, symbol, "
-            f"{asset_of_symbol('symbol')} AS asset, {maturity_date('_maturity')} AS maturity))) AS _parts",
+            "market_id",
+            "venue",
+            f"{exchange_name('venue')} AS exchange",
+            "symbol",
+            f"{asset_of_symbol('symbol')} AS asset",
+            f"{maturity_date('_maturity')} AS maturity",
         )
+        .selectExpr(*kept, f"explode(array(struct({', '.join(MARKET_COLUMNS)}))) AS _parts")
         .selectExpr(*kept, "_parts.*")
     )
 

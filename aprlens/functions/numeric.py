@@ -43,6 +43,17 @@ def finite_double(text: Column) -> Column:
     return finite(permissive_double(text))
 
 
+def rounded_text(name: str, digits: int = 6) -> str:
+    """``round(name, digits)`` of a double as SQL text: the same number, but for the sign of a zero.
+
+    ``round`` writes every number as decimal text. Scaled numbers below 10^12 lie within 0.001 of what that text says, so
+    away from a tie the nearest whole number is the same one, and dividing it by a power of ten rounds as reading does.
+    """
+    scaled = f"({name} * 1e{digits}D)"
+    plain = f"abs({scaled}) < 1e12D AND abs({scaled} - floor({scaled}) - 0.5D) > 0.001D"
+    return f"IF({plain}, rint({scaled}) / 1e{digits}D, round({name}, {digits}))"
+
+
 def finite_mean(value: Column) -> Column:
     return F.avg(finite(value))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,23 @@ def test_rate_scaling_and_labels(spark):
         ("Paid more than realized", "positive-gap"),
         ("Received more than paid", "negative-gap"),
     ]
+
+
+def test_rounded_text_is_round(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice([1e-9, 1e-6, 1e-3, 1.0, 1e3, 1e5, 1e6, 1e7, 1e13, 1e300]) for _ in range(20000)]
+    values = [rng.uniform(-1, 1) * s for s in sizes] + [rng.randrange(-(10**9), 10**9) / 2e6 for _ in range(20000)]
+    values += [None, NAN, INF, -INF, -0.0, 0.0, 5e-7, 1.0000005, 2.5e-6, 999999.9999995, 1e6]
+    df = doubles(spark, values)
+    differ = df.where(~F.expr(f"{nm.rounded_text('x')} <=> round(x, 6)"))
+    assert differ.count() == 0
+
+
+def test_columns_of_a_market_name_are_finished_before_the_generator(spark):
+    """Inside a generator nothing is compiled, and every line of an archive of one line pays for that."""
+    names = spark.createDataFrame([("7-NOVA_dex2x-xyzGOLD-29MAR2024",)], "market string")
+    made = mk.with_market_columns(names)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.split("\n") if "Generate explode" in line]
+    assert generators and not any("element_at" in line for line in generators)
+    assert made.first()["exchange"] == "Nova_Dex2X"
